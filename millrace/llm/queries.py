@@ -24,6 +24,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary(BYTE_BPE), end_id=0, capacity=1024)
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_texts
+
+    return score_texts(documents(spark, sf_dir), states=8, rounds=4, n_words=4096, n_endings=4096)
+
+
 def op5_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orcids import round_trip
 
