@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table_path, text_or_empty
+from .common import materialise, table_path, text_or_empty
 from .wordcoder import coder
 
 FILE_SCHEMA = "doc_id long, file_no int, ids_before long, n_tokens long, ids array<int>"
@@ -66,9 +66,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> N
     encoded(docs, vocabulary, end_id).write.options(**ORC_OPTIONS).orc(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with ``start``: the number of ids of all documents before each."""
-    rows = spark.read.schema(FILE_SCHEMA).orc(path)
+def with_start(rows: DataFrame) -> DataFrame:
+    """``rows`` of the files, without their ids, and ``start``: the number of ids of all documents before each."""
     files = rows.groupBy("file_no").agg(F.max(F.col("ids_before") + F.col("n_tokens")).alias("n"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each file
@@ -80,17 +79,20 @@ def ids_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of ``read_ids``."""
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document in the files; ids are read once and never dealt out."""
+    names = ["doc_id", "file_no", "ids_before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
             flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], [*names, "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(FILE_SCHEMA).orc(path).select(*names, "ids")
+    slim = materialise(rows.mapInArrow(run, "doc_id long, file_no int, ids_before long, n_tokens long, ids_crc32 long"), "digests")
+    return with_start(slim).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
@@ -98,4 +100,4 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     spark = docs.sparkSession
     path = table_path(spark, "ids") + ".orc"
     write_ids(docs, path, vocabulary, end_id)
-    return digests(read_ids(spark, path))
+    return digests(spark, path)

@@ -31,7 +31,7 @@ def byte_alphabet() -> dict[int, str]:
 class WordCoder:
     """Encodes batches of texts; keeps at most ``limit`` distinct words (about 200 bytes each) between batches."""
 
-    def __init__(self, path: str, limit: int = 1_100_000):
+    def __init__(self, path: str, limit: int = 1_300_000):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -106,11 +106,15 @@ class WordCoder:
             if cuts[0] not in first:
                 self._add(first, cuts[0], cuts[0])
             rows.append(first[cuts[0]])
-            rest = cuts[1:]
-            for word in rest:
-                if word not in inner:
-                    self._add(inner, word, " " + word)
-            rows += map(inner.__getitem__, rest)
+            del cuts[0]
+            known = [*map(inner.get, cuts)]
+            if None in known:
+                for k, word in enumerate(cuts):
+                    if known[k] is None:
+                        if word not in inner:
+                            self._add(inner, word, " " + word)
+                        known[k] = inner[word]
+            rows += known
         index = np.array(rows, dtype=np.int64)
         starts, flat = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.flat, dtype=np.uint32) if self.flat else np.zeros(0, np.uint32)
         begin, lengths = starts[index], starts[index + 1] - starts[index]
@@ -124,7 +128,7 @@ class WordCoder:
 _CODERS: dict[tuple, WordCoder] = {}
 
 
-def coder(path: str, limit: int = 1_100_000) -> WordCoder:
+def coder(path: str, limit: int = 1_300_000) -> WordCoder:
     """One coder for each worker process and vocabulary file."""
     if (path, limit) not in _CODERS:
         _CODERS[path, limit] = WordCoder(path, limit)
