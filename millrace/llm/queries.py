@@ -24,6 +24,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary(BYTE_BPE), end_id=0, capacity=1024)
 
 
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .fertility import judge
+
+    return judge(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hmm import score_texts
 
