@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -44,6 +44,19 @@ def op5_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), vocabulary(BYTE_BPE), end_id=2)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), width=8, min_literal=4, min_share=0.3)
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import captures_of, entries_of, match
+
+    pages = table(spark, sf_dir, "pages")
+    return match(captures_of(pages), entries_of(table(spark, sf_dir, "events"), pages))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -56,9 +69,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delete_copies(documents(spark, sf_dir), min_words=50, report=True)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derive
+
+    return derive(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import urlfilter
+
+    return {"op7_url_lists": urlfilter.SQL}
