@@ -32,6 +32,14 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import identify
+
+    return identify(documents(spark, sf_dir), "doc_id", F.col("lang"), F.col("source"))
+
+
 def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hmm import score_texts
 
@@ -75,8 +83,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "pages"))
 
 
+def pages_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language identification of web pages: markup language, host and suffix of the address."""
+    from pyspark.sql import functions as F
+
+    from .langid import identify
+
+    pages = table(spark, sf_dir, "pages")
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    declared = F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    return identify(pages.withColumn("text", text), "page_id", declared, F.col("url"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {"pages_langid": pages_langid} | {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
