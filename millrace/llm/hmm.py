@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty
 
 END = b" "  # no word holds a space
-SPLIT = 150_000  # a task starts a new numbering after so many distinct words
+SPLIT = 400_000  # a task starts a new numbering after so many distinct words
 
 
 def held_out(doc_id: Column) -> Column:
