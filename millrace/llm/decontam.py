@@ -24,9 +24,10 @@ UNITS = (
     "years hz khz mhz ghz w kw mw kwh j kj cal kcal v a pa bar k c f degree degrees percent dollar dollars cent cents euro "
     "euros pound pounds meter meters metre metres kilometer kilometers kilogram kilograms usd eur gbp million billion thousand"
 ).split()
-NAME = r"(?<=[\p{L}\p{N},] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*)"
-NUMBER = r"(?<![\p{L}\p{N}§=])([+-]?\p{Sc}?\p{N}[\p{N}.,:/]*[\p{L}%°]*)"
-UNIT = r"(?<=§D=\S{1,40} )(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
+# each pattern begins with what is rare, so that most places of a text cost one comparison
+NAME = r"(\p{Lu}(?<=[\p{L}\p{N},] .)\p{Ll}[\p{L}\p{M}]*)"
+NUMBER = r"(\p{N}(?<![\p{L}\p{N}§=].)[\p{N}.,:/]*[\p{L}%°]*)"
+UNIT = r"(§D=\S+ )(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
 
 
 def canonical(text: Column) -> Column:
@@ -34,7 +35,7 @@ def canonical(text: Column) -> Column:
     text = F.translate(text, "§=", "  ")
     text = F.regexp_replace(text, NAME, "§N=$1")
     text = F.regexp_replace(text, NUMBER, "§D=$1")
-    text = F.regexp_replace(text, UNIT, "§U=$1")
+    text = F.regexp_replace(text, UNIT, "$1§U=$2")
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}§=\s]+", ""))
 
 
@@ -48,8 +49,13 @@ def template(canon: Column) -> Column:
 
 def window_hashes(tokens: Column, size: int) -> Column:
     """The hash of each window of ``size`` words, in order; none in shorter texts."""
-    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.xxhash64(F.slice(tokens, k, size)))
+
+    def hashes(own: Column) -> Column:
+        starts = F.when(F.size(own) >= size, F.sequence(F.lit(1), F.size(own) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.xxhash64(F.slice(own, k, size)))
+
+    # as a lambda's variable the words are made once for a text; named as they are, they would be made again for each window
+    return F.element_at(F.transform(F.array(tokens), hashes), 1)
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, min_literal: int) -> DataFrame:
