@@ -178,11 +178,13 @@ def measures(docs: DataFrame, key: str, byte_level: str, byte_fallback: str, pat
 def bands(measured: DataFrame, down: float, up: float, least: int) -> DataFrame:
     """For each band, size class and measure its bounds: ``down`` quartile distances under the first quartile and
     ``up`` over the third, and the measure's slack. Groups of under ``least`` documents have none; band "*" stands
-    for all documents of a size class."""
+    for all documents of a size class, size class -1 for all sizes of a band."""
     bins = F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / w).alias("bin")) for m, (w, _) in MEASURES.items()])
     rows = measured.where("not base_failed").select("band", "size_class", F.explode(bins).alias("x")).select("band", "size_class", "x.measure", "x.bin")
     own = rows.groupBy("band", "size_class", "measure", "bin").agg(F.count("*").alias("n"))
-    counts = own.unionByName(own.groupBy("size_class", "measure", "bin").agg(F.sum("n").alias("n")).withColumn("band", F.lit("*")))
+    every = own.groupBy("size_class", "measure", "bin").agg(F.sum("n").alias("n")).withColumn("band", F.lit("*"))
+    any_size = own.groupBy("band", "measure", "bin").agg(F.sum("n").alias("n")).withColumn("size_class", F.lit(-1).cast("long"))
+    counts = own.unionByName(every).unionByName(any_size)
     group = Window.partitionBy("band", "size_class", "measure")
     upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.select("band", "size_class", "measure", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("all"))
@@ -201,8 +203,8 @@ def judge(docs: DataFrame, byte_level: str, byte_fallback: str, pattern: str, do
 
     Null text has no words and fails the base rules (under 10 words, or over a fifth of them repeated). Null or empty
     lang: the text's main script stands for it. Measures lean on a text's length, so each band has its size classes
-    (half doublings of the token count); a class of under ``least`` documents takes the bounds of all languages, or
-    none if these are too few too. Equal rows are judged one by one; other columns are ignored; an empty table gives
+    (half doublings of the token count); a class of under ``least`` documents takes the bounds of all languages, if
+    these are too few too those of all sizes of the band, and else none. Equal rows are judged one by one; other columns are ignored; an empty table gives
     no rows.
     """
     own = key or "row_key"
@@ -215,9 +217,10 @@ def judge(docs: DataFrame, byte_level: str, byte_fallback: str, pattern: str, do
     named = lambda side: [F.col(m).alias(f"{m}_{side}") for m in MEASURES]
     joined = measured.join(found.where("band <> '*'").select("band", "size_class", *named("own")), ["band", "size_class"], "left")
     joined = joined.join(found.where("band = '*'").select("size_class", *named("all")), "size_class", "left")
+    joined = joined.join(found.where("band <> '*' and size_class = -1").select("band", *named("any")), "band", "left")
 
     def outside(m: str) -> Column:
-        bounds = F.coalesce(f"{m}_own", f"{m}_all")
+        bounds = F.coalesce(f"{m}_own", f"{m}_all", f"{m}_any")
         return F.when((F.col(m) < bounds["low"]) | (F.col(m) > bounds["high"]), F.lit(m))
 
     judged = joined.withColumn("reasons", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[outside(m) for m in MEASURES]))))

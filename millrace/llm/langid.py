@@ -149,7 +149,7 @@ def identify(docs: DataFrame, key: str, declared: Column, address: Column, text:
     total = F.transform(F.arrays_zip(F.col("logs").alias("t"), declared_logs.alias("d"), place.alias("p")), lambda x: x["t"] + x["d"] + F.log(x["p"]))
     scored = joined.withColumn("total", total).withColumn("top", F.array_max("total"))
     posterior = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    found = scored.select(key, F.element_at(names, best(F.col("total"))).alias("language"), posterior.alias("posterior"), F.coalesce(F.element_at(names, F.col("by_text")), F.lit("und")).alias("text_language"), "declared", "n_trigrams")
+    found = scored.select(key, F.element_at(names, best(F.col("total"))).alias("language"), posterior.alias("posterior"), F.coalesce(F.get(names, F.col("by_text") - 1), F.lit("und")).alias("text_language"), "declared", "n_trigrams")
     kept = F.col("posterior") >= least_posterior
     if accepted is not None:
         kept = kept & F.col("language").isin(accepted)

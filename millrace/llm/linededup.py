@@ -87,7 +87,7 @@ def delete_copies(docs: DataFrame, min_words: int = 50, report: bool = False) ->
     """
     key, runs, cut = free_name(docs, "row_key"), free_name(docs, "copied_runs"), free_name(docs, "cut")
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), text_or_empty()))
-    met = keyed.join(copied_runs(keyed.select("doc_id", "text", key), key, min_words), key, "left").withColumnRenamed("runs", runs)
+    met = keyed.join(copied_runs(keyed.select("doc_id", "text", key), key, min_words).withColumnRenamed("runs", runs), key, "left")
     lines = F.transform(F.split(text_or_empty(), "\n", -1), lambda x, k: F.struct(x.alias("line"), F.exists(F.col(runs), lambda r: (r["first"] <= k) & (k <= r["last"])).alias("gone")))
     worded = lambda x: F.regexp_count(x["line"], F.lit(r"[^\x20\x09-\x0D]+"))
     counted = lambda x: x["gone"] & (worded(x) > 0)

@@ -74,9 +74,14 @@ def with_start(rows: DataFrame) -> DataFrame:
     return rows.join(base, "file_no").withColumn("start", F.col("base") + F.col("ids_before")).drop("base")
 
 
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows: doc_id, file_no, ids_before (in the file), n_tokens, ids."""
+    return spark.read.schema(FILE_SCHEMA).orc(path)
+
+
 def ids_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """Look up documents: the filter reaches the files, so stripes without these ids are not read."""
-    return spark.read.schema(FILE_SCHEMA).orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
+    return read_ids(spark, path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +95,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], [*names, "n_tokens", "ids_crc32"])
 
-    rows = spark.read.schema(FILE_SCHEMA).orc(path).select(*names, "ids")
+    rows = read_ids(spark, path).select(*names, "ids")
     slim = materialise(rows.mapInArrow(run, "doc_id long, file_no int, ids_before long, n_tokens long, ids_crc32 long"), "digests")
     return with_start(slim).select("doc_id", "start", "n_tokens", "ids_crc32")
 

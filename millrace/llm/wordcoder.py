@@ -120,7 +120,7 @@ class WordCoder:
         begin, lengths = starts[index], starts[index + 1] - starts[index]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         ids = flat[np.repeat(begin - ends[:-1], lengths) + np.arange(ends[-1])]
-        bounds = ends[np.concatenate(([0], np.cumsum(counts)))]
+        bounds = ends[np.concatenate(([0], np.cumsum(np.array(counts, dtype=np.int64))))]
         del starts, flat
         return ids, bounds
 
