@@ -138,8 +138,12 @@ def alias_matches(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     own = queries.select("query_id", words(F.col("query")).alias("w"))
 
     def of_length(n: int) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        return own.where(F.size("w") >= n).select("query_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("key"))
+        def joined(w: Column) -> Column:
+            starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+        # a lambda's variable is made once for a query; the column itself would be made again for each run
+        return own.select("query_id", F.explode(F.element_at(F.transform(F.array("w"), joined), 1)).alias("key"))
 
     runs = [of_length(n) for n in sizes]
     found = reduce(DataFrame.union, runs).join(keyed, "key") if runs else own.join(keyed, F.lit(False)).withColumn("key", F.lit(""))
