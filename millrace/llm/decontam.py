@@ -87,8 +87,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str, width: int = 8
     hashes = bench.select("size", "hash").distinct()
     parts = [plain.select(key, F.posexplode(window_hashes(F.col("tokens"), s)).alias("place", "hash")).withColumn("size", F.lit(s)) for s in sizes]
     met = materialise(reduce(DataFrame.union, parts).join(hashes, ["size", "hash"], "left_semi").distinct(), "met")
-    # only documents with a match are looked at again, for the values in their windows
-    texts = own.join(met.select(key).distinct(), key, "left_semi").dropDuplicates([key]).select(key, "doc_id", words(canonical(F.col("text"))).alias("tokens"))
+    # only documents with enough matches are looked at again, for the values in their windows; their keys are stored, so
+    # that Spark knows the table's size and deals out the texts only where it is too large to send around
+    places = bench.select("size", "hash", "item_id", "item_windows", F.col("place").alias("item_place"))
+    enough = met.join(places, ["size", "hash"]).groupBy(key, "item_id").agg((F.countDistinct("item_place") >= min_share * F.max("item_windows")).alias("enough"))
+    suspects = materialise(enough.where("enough").select(key).distinct(), "suspects")
+    texts = own.join(suspects, key, "left_semi").dropDuplicates([key]).select(key, "doc_id", words(canonical(F.col("text"))).alias("tokens"))
     seen = met.join(texts, key).select(key, "doc_id", "size", "hash", F.col("place").alias("at"), F.expr("slice(tokens, place + 1, size)").alias("doc_words"))
     pairs = seen.join(bench, ["size", "hash"]).withColumn("diagonal", F.col("at") + 1 - F.col("place"))
     slot = F.filter(F.arrays_zip("item_words", "doc_words"), lambda x: x["item_words"].startswith("§"))
