@@ -5,7 +5,9 @@ Four kinds of evidence give log-probabilities for each language, and their sum t
 * the text: a naive Bayes model over hashed letter trigrams, with counts of all rows by declared language. Trigrams
   overlap threefold, so their log-likelihood counts for a third;
 * the declared (markup) language: how often rows whose text speaks for a language declare each language, or none;
-* the address: priors of the host, smoothed by those of its suffix, smoothed by those of the whole table.
+* the address: priors of the host, smoothed by those of its suffix, smoothed by those of the whole table;
+* no language at all: a text whose trigrams fit its best language worse than nearly all rows of that language and
+  length do, or that has no letters, is more likely of an unknown language, which takes its share of the posterior.
 
 Everything is counted over the whole table by grouped aggregation. The model has ``BUCKETS`` numbers for each of at
 most ``max_languages`` languages, the most declared ones; hosts can be many and meet their rows by a join.
@@ -24,6 +26,7 @@ from pyspark.sql import types as T
 from .common import free_name, materialise, text_or_empty
 
 BUCKETS = 1 << 14
+FULL_CLASS = 20  # rows of one language and length that make a band of fits
 NONE = "-"  # no declared language
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -103,12 +106,34 @@ def likelihoods(rows: DataFrame, counts: np.ndarray, kept: list[str]) -> DataFra
     return rows.select(*kept, "text").mapInArrow(run, schema)
 
 
+def least_fits(texts: DataFrame, size: int, reach: float = 3.0) -> list[list[float]]:
+    """For each language and each power of two of trigrams: the mean log-probability of a trigram at which a text is as
+    likely of an unknown language. It lies ``reach`` interquartile ranges under the first quartile of the rows that
+    speak for the language, at least halfway from there to chance, and never under chance. Classes of few rows take the next full one's, shorter texts with a
+    wider band; languages without a full class have chance alone."""
+    fit = F.array_max("logs") * 3 / F.col("n_trigrams")
+    quartiles = F.percentile_approx(fit, [0.25, 0.75], 10_000)
+    rows = texts.where("by_text is not null").groupBy("by_text", F.floor(F.log2("n_trigrams")).cast("int").alias("length")).agg(F.count("*").alias("n"), quartiles.alias("q"))
+    full: list[dict[int, list[float]]] = [{} for _ in range(size)]
+    for r in rows.where(F.col("n") >= FULL_CLASS).collect():  # 40 for each language at most
+        full[r["by_text"] - 1][r["length"]] = r["q"]
+    chance = -float(np.log(BUCKETS))
+    cuts = [[chance] * 40 for _ in range(size)]
+    for own, known in zip(cuts, full, strict=True):
+        for k in range(40 if known else 0):
+            near = min(known, key=lambda c: (abs(c - k), c))
+            low, high = known[near]
+            own[k] = max(chance, min((low + chance) / 2, low - reach * (high - low) * 2 ** (max(0, near - k) / 2)))
+    return cuts
+
+
 def identify(docs: DataFrame, key: str, declared: Column, address: Column, text: str = "text", least_posterior: float = 0.6, accepted: list[str] | None = None, max_languages: int = 64, strength: float = 20.0) -> DataFrame:
     """A row for each row of ``docs``: its ``key`` column, language, posterior, text_language (by the text alone),
     declared, n_trigrams and kept.
 
     A row is kept if its posterior reaches ``least_posterior`` and its language is one of ``accepted`` (all if None).
-    Without letters in its text (null, empty) the declared language and the host decide alone. Null declared
+    Without letters in its text (null, empty) the declared language and the host decide alone which language is
+    likeliest, but an unknown one is as likely as all of them together. Null declared
     languages and addresses are evidence of their own kind. Without any declared language in the table every row is
     "und" and none is kept. Equal rows are judged one by one; ties go to the language declared most often. An empty
     table gives no rows.
@@ -148,7 +173,10 @@ def identify(docs: DataFrame, key: str, declared: Column, address: Column, text:
     place = F.coalesce("host_prior", "suffix_prior", numbers(prior))
     total = F.transform(F.arrays_zip(F.col("logs").alias("t"), declared_logs.alias("d"), place.alias("p")), lambda x: x["t"] + x["d"] + F.log(x["p"]))
     scored = joined.withColumn("total", total).withColumn("top", F.array_max("total"))
-    posterior = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    cuts = F.array(*map(numbers, least_fits(texts, size)))
+    cut = F.element_at(F.element_at(cuts, F.col("by_text")), F.floor(F.log2("n_trigrams")).cast("int") + 1)
+    unknown = F.coalesce(F.exp(F.least(F.col("n_trigrams") * cut / 3 - F.array_max("logs"), F.lit(500.0))), F.lit(1.0))
+    posterior = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))) / (1 + unknown)
     found = scored.select(key, F.element_at(names, best(F.col("total"))).alias("language"), posterior.alias("posterior"), F.coalesce(F.get(names, F.col("by_text") - 1), F.lit("und")).alias("text_language"), "declared", "n_trigrams")
     kept = F.col("posterior") >= least_posterior
     if accepted is not None:

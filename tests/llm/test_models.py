@@ -82,6 +82,15 @@ def test_hosts_decide_without_text(frame):
     assert {got[i]["text_language"] for i in (900, 901, 902)} == {"und"}
 
 
+def test_unknown_languages_go(frame):
+    rng = random.Random(9)
+    _, rows = language_rows()
+    foreign = [prose(rng, 20, "aioltpzvgb") for _ in range(5)] + [prose(rng, 20, "бвгджзклмн") for _ in range(5)] + [prose(rng, 20, "bcdfgjkqwx") for _ in range(5)] + ["12 34", ""]
+    rows += [(900 + i, t, None, "src0", len(t), "x", 1) for i, t in enumerate(foreign)]
+    kept = {r["doc_id"] for r in identify(frame(rows), "doc_id", F.col("lang"), F.col("source")).where("kept").collect()}
+    assert kept == {r[0] for r in rows if r[0] < 900}
+
+
 def test_language_edges(frame, odd):
     assert keep_identified(frame([])).count() == 0
     nothing = frame([(1, "text", None, None, 4, "x", 1)])
