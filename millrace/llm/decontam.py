@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders that carry their value (``§d
 rest is lower-cased words without punctuation. Windows of ``width`` template words (placeholders without values) of
 documents meet those of the benchmark by hash. Matching windows that keep one distance between their places in
 document and item are one alignment; in it every slot value of the item must always stand for the same value of the
-document, and the other way round. A re-parameterised question passes that, a chance likeness of templates doesn't.
+document; two of the item's may have become one. A re-parameterised question passes that, a chance likeness of
+templates doesn't. Windows with few literal words say too little as templates and are met with their values instead.
 A document is contaminated by an item if aligned, consistent windows make ``min_share`` of the item's windows.
 """
 
@@ -59,14 +60,15 @@ def window_hashes(tokens: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, min_literal: int) -> DataFrame:
-    """(item_id, item_windows, size, place, hash, item_words) of windows with ``min_literal`` or more literal words.
-    An item shorter than ``width`` is one window."""
+    """(item_id, item_windows, size, place, hash, item_words, whole) of windows with literal words. An item shorter than
+    ``width`` is one window. ``whole`` windows have under ``min_literal`` of them, and their hash covers the values."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), canonical(text_or_empty()).alias("canon")).select("item_id", words(F.col("canon")).alias("tokens"))
-    items = items.where(F.size("tokens") >= min_literal).withColumn("size", F.least(F.size("tokens"), F.lit(width)))
+    items = items.where(F.size("tokens") > 0).withColumn("size", F.least(F.size("tokens"), F.lit(width)))
     places = items.withColumn("place", F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)))
     rows = places.select("item_id", "size", "place", F.expr("slice(tokens, place, size)").alias("item_words"))
     plain = F.transform("item_words", lambda w: F.regexp_replace(w, r"=\S*", ""))
-    rows = rows.withColumn("hash", F.xxhash64(plain)).where(F.size(F.filter("item_words", lambda w: ~w.startswith("§"))) >= min_literal)
+    literal = F.size(F.filter("item_words", lambda w: ~w.startswith("§")))
+    rows = rows.where(literal > 0).withColumn("whole", literal < min_literal).withColumn("hash", F.xxhash64(F.when(F.col("whole"), F.col("item_words")).otherwise(plain)))
     total = rows.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
     return rows.join(total, "item_id")
 
@@ -75,32 +77,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str, width: int = 8
     """(key, doc_id, item_id, item_windows, matched_windows, share, exact) for each row of ``docs`` (doc_id, text,
     ``key``) and each item that contaminates it; ``exact`` if all slots hold the item's own values.
 
-    Null texts and items of under ``min_literal`` words match nothing. Items are told apart by item_id; equal ones
+    Null texts and items without literal words match nothing. Items are told apart by item_id; equal ones
     each match. Equal rows of ``docs`` are one.
     """
     bench = materialise(benchmark_windows(benchmark, width, min_literal), "benchmark")
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # ``width`` at most
+    sizes = sorted(tuple(r) for r in bench.select("size", "whole").distinct().collect())  # twice ``width`` at most
     own = docs.select(F.col(key), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     if not sizes:
-        sizes = [width]
-    plain = own.select(key, words(template(canonical(F.col("text")))).alias("tokens"))
-    hashes = bench.select("size", "hash").distinct()
-    parts = [plain.select(key, F.posexplode(window_hashes(F.col("tokens"), s)).alias("place", "hash")).withColumn("size", F.lit(s)) for s in sizes]
-    met = materialise(reduce(DataFrame.union, parts).join(hashes, ["size", "hash"], "left_semi").distinct(), "met")
+        sizes = [(width, False)]
+    canon = canonical(F.col("text"))
+    tokens = {whole: own.select(key, words(canon if whole else template(canon)).alias("tokens")) for whole in (False, True)}
+    met_by = ["size", "whole", "hash"]
+    hashes = bench.select(*met_by).distinct()
+    parts = [tokens[whole].select(key, F.posexplode(window_hashes(F.col("tokens"), s)).alias("place", "hash")).withColumn("size", F.lit(s)).withColumn("whole", F.lit(whole)) for s, whole in sizes]
+    met = materialise(reduce(DataFrame.union, parts).join(hashes, met_by, "left_semi").distinct(), "met")
     # only documents with enough matches are looked at again, for the values in their windows; their keys are stored, so
     # that Spark knows the table's size and deals out the texts only where it is too large to send around
-    places = bench.select("size", "hash", "item_id", "item_windows", F.col("place").alias("item_place"))
-    enough = met.join(places, ["size", "hash"]).groupBy(key, "item_id").agg((F.countDistinct("item_place") >= min_share * F.max("item_windows")).alias("enough"))
+    places = bench.select(*met_by, "item_id", "item_windows", F.col("place").alias("item_place"))
+    enough = met.join(places, met_by).groupBy(key, "item_id").agg((F.countDistinct("item_place") >= min_share * F.max("item_windows")).alias("enough"))
     suspects = materialise(enough.where("enough").select(key).distinct(), "suspects")
     texts = own.join(suspects, key, "left_semi").dropDuplicates([key]).select(key, "doc_id", words(canonical(F.col("text"))).alias("tokens"))
-    seen = met.join(texts, key).select(key, "doc_id", "size", "hash", F.col("place").alias("at"), F.expr("slice(tokens, place + 1, size)").alias("doc_words"))
-    pairs = seen.join(bench, ["size", "hash"]).withColumn("diagonal", F.col("at") + 1 - F.col("place"))
+    seen = met.join(texts, key).select(key, "doc_id", *met_by, F.col("place").alias("at"), F.expr("slice(tokens, place + 1, size)").alias("doc_words"))
+    pairs = seen.join(bench, met_by).withColumn("diagonal", F.col("at") + 1 - F.col("place"))
     slot = F.filter(F.arrays_zip("item_words", "doc_words"), lambda x: x["item_words"].startswith("§"))
     group = [key, "doc_id", "item_id", "item_windows", "diagonal"]
     aligned = pairs.select(*group, "place", F.transform(slot, lambda x: F.struct(x["item_words"].alias("i"), x["doc_words"].alias("d"))).alias("slots"))
     aligned = aligned.groupBy(*group).agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.collect_set("place").alias("places"))
-    sides = [F.size(F.array_distinct(F.col(f"slots.{s}"))) for s in ("i", "d")]
-    aligned = aligned.where((F.size("slots") == sides[0]) & (F.size("slots") == sides[1]))
+    aligned = aligned.where(F.size("slots") == F.size(F.array_distinct(F.col("slots.i"))))
     found = aligned.groupBy(*group[:-1]).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched_windows"), F.min(F.forall("slots", lambda x: x["i"] == x["d"])).alias("exact"))
     share = F.col("matched_windows") / F.col("item_windows")
     return found.withColumn("share", share).where(F.col("share") >= min_share).select(key, "doc_id", "item_id", F.col("item_windows").cast("long").alias("item_windows"), "matched_windows", "share", "exact")

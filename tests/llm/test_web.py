@@ -37,6 +37,15 @@ def test_leaks(spark, frame, odd):
     assert leaks(frame(rows), bench(spark, [])).count() == 0
 
 
+def test_items_of_numbers_and_merged_values(spark, frame):
+    sums, short = "What is 12 + 35 x 4 - 7 / 2 + 9 - 81 x 6 now?", "Add 17 to 25."
+    basket = "she bought 12 apples and 15 pears at the market before going home"
+    rng = random.Random(8)
+    rows = rows_for([prose(rng, 30) + "\n" + sums + "\n" + prose(rng, 30), sums.replace("- 7", "- 70"), "So: " + short, "Add 18 to 25.", basket.replace("12", "7").replace("15", "7"), prose(rng, 90)])
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in leaks(frame(rows), bench(spark, [sums, short, basket])).collect()}
+    assert got == {(0, 0): True, (2, 1): True, (4, 2): False}
+
+
 def at(day, hour=0):
     return dt.datetime(2024, 1, day, hour)
 
@@ -59,6 +68,11 @@ def test_lists_in_force(spark):
     assert valid == {("spam", 2, 5, True), ("spam", 5, 9, False), ("spam", 9, None, True), ("ads", 4, None, True), ("ads", 1, None, False)}
 
 
+def test_deep_paths(spark):
+    captures, entries = frames(spark, [(1, "http://a.b.org/x/y/z/w?q", at(3)), (2, "http://b.org/x/y", at(3))], [("b.org/x/y/z", "ads", at(1), True, 1)])
+    assert {r["page_id"]: r["blocked"] for r in match(captures, entries).collect()} == {1: True, 2: False}
+
+
 def test_empty_lists(spark):
     captures, entries = frames(spark, CAPTURES, [])
     assert not any(r["blocked"] for r in match(captures, entries).collect())
