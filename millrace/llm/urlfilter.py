@@ -46,14 +46,17 @@ def patterns_of(url: Column, path_depth: int = 2) -> Column:
     return F.when(url.isNotNull() & (host_of(url) != ""), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def match(captures: DataFrame, entries: DataFrame, path_depth: int = 2) -> DataFrame:
+def match(captures: DataFrame, entries: DataFrame, path_depth: int | None = None) -> DataFrame:
     """A row for each capture (page_id, url, fetched) and the list entries in force when it was fetched:
     page_id, url, fetched, blocked, n_active, categories (sorted) and first_pattern (the least of those in force).
 
+    Paths are followed for ``path_depth`` segments, as many as the deepest entry has if None.
     A null or unreadable url and a null fetch time match nothing. Equal captures give equal rows, one each. Without
     entries nothing is blocked; without captures there are no rows.
     """
     valid = intervals(entries)
+    if path_depth is None:
+        path_depth = entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     key = F.xxhash64("page_id", "url", "fetched")
     keyed = captures.select("page_id", "url", "fetched", key.alias("capture"))
     asked = keyed.select("capture", "fetched", F.explode(patterns_of(F.col("url"), path_depth)).alias("pattern")).distinct()
