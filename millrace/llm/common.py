@@ -29,32 +29,57 @@ def table_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/millrace-{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders made by ``materialise`` in this process, oldest first.
+_MADE: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = table_path(spark, tag)
+    _MADE.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialise`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/millrace-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete_path(df.sparkSession, folder)
+
+
+def mark() -> int:
+    """How many tables have been made so far."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables made after ``mark`` gave ``since``, except those that ``keep`` reads."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()} if keep is not None else set()
+    for path in [p for p in _MADE[since:] if p.rsplit("/", 1)[-1] not in kept]:
+        delete_path(spark, path)
+        _MADE.remove(path)
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A 64-bit key of one row. Rows with the same id and text are one document."""
-    return F.xxhash64(F.col(doc_id), text_or_empty(text))
+def row_key(*columns: Column | str) -> Column:
+    """A 128-bit key of one row, as text: the MD5 of its ``columns``, each with its length, so that nothing else than
+    equal values has equal keys. By default doc_id and text, null text counting as empty."""
+
+    def part(c: Column) -> Column:
+        return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+
+    given = columns or ("doc_id", text_or_empty())
+    return F.md5(F.concat(*[part((F.col(c) if isinstance(c, str) else c).cast("string")) for c in given]))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

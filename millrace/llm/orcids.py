@@ -55,23 +55,27 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 )
                 before += int(ends[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
+    # rows that share an id (or have none) spread over ranges by their texts' hashes
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("salt", F.xxhash64("text"))
+    return rows.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Write ``docs`` (doc_id, text) to ORC files under ``path``. Null text counts as empty; rows with a null doc_id
-    come first, rows with equal doc_id are ordered by text; other columns are ignored. An empty table gives files
+    come first, rows with equal doc_id are ordered by a hash of the text; other columns are ignored. An empty table gives files
     without rows."""
     encoded(docs, vocabulary, end_id).write.options(**ORC_OPTIONS).orc(path)
 
 
-def with_start(rows: DataFrame) -> DataFrame:
-    """``rows`` of the files, without their ids, and ``start``: the number of ids of all documents before each."""
-    files = rows.groupBy("file_no").agg(F.max(F.col("ids_before") + F.col("n_tokens")).alias("n"))
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each file
-    return rows.join(base, "file_no").withColumn("start", F.col("base") + F.col("ids_before")).drop("base")
+def with_start(rows: DataFrame, group: int = 1000) -> DataFrame:
+    """``rows`` of the files, without their ids, and ``start``: the number of ids of all documents before each. Files
+    are summed up in groups, so that no task holds more than ``group`` files or all groups."""
+    files = rows.groupBy("file_no").agg(F.max(F.col("ids_before") + F.col("n_tokens")).alias("n")).withColumn("part", F.floor(F.col("file_no") / group))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n").alias("n"))
+    upper = parts.select("part", before(Window.orderBy("part")).alias("upper"))  # a row for each ``group`` files
+    base = files.select("part", "file_no", before(Window.partitionBy("part").orderBy("file_no")).alias("lower")).join(upper, "part")
+    return rows.join(base.select("file_no", (F.col("upper") + F.col("lower")).alias("base")), "file_no").withColumn("start", F.col("base") + F.col("ids_before")).drop("base")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A byte-level BPE never merges across pre-tokens, and a space that follows a non-space always begins a pre-token.
 Texts are therefore cut at such spaces; every distinct cut is encoded by the library once per worker process
-and the ids of a text are gathered from that table. The result is the library's own, id for id.
+and the ids of a text are gathered from that table. The result is the library's own, id for id. A text that holds
+the string of one of the file's added tokens is encoded whole by the library, which puts that token's id in its place.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ class WordCoder:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]]
         self.model = BPE(spec["vocab"], merges, cache_capacity=0)  # words reach it once, so its own cache only costs
         self.cut = whole.pre_tokenizer.pre_tokenize_str
+        self.whole = whole
+        self.added = [t.content for t in whole.get_added_tokens_decoder().values()]
         self.alphabet, self.limit = byte_alphabet(), limit
         self.inner: dict[str, int] = {}  # words after a space, without it
         self.first: dict[str, int] = {}  # beginnings of texts
@@ -101,6 +104,12 @@ class WordCoder:
             if not text:
                 counts.append(0)
                 continue
+            if any(t in text for t in self.added):
+                counts.append(1)
+                rows.append(len(self.starts) - 1)
+                self.flat.extend(self.whole.encode(text, add_special_tokens=False).ids)
+                self.starts.append(len(self.flat))
+                continue
             cuts = _CUT.split(text) if _SPACED.search(text) or text[0] == " " else text.split(" ")
             counts.append(len(cuts))
             if cuts[0] not in first:
