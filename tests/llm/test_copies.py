@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.linededup import delete_copies
+from millrace.llm.linededup import delete_copies, least_windows, lines_of, select
 from millrace.llm.simhash import forest_links, gray_rank, keep_one, near_duplicates
 
 from .conftest import prose, rows_for
@@ -144,6 +145,32 @@ def test_line_dedup(frame, odd):
     assert report[100 + len(texts) - 2]["n_deleted_lines"] >= 1
 
 
+def test_many_copied_lines_cost_in_proportion(frame):
+    def seconds(n):
+        docs = frame(rows_for(["\n".join(f"line {k} of this text" for k in range(n))] * 2))
+        began = time.time()
+        got = {r["doc_id"]: r["n_deleted_lines"] for r in delete_copies(docs, 50, report=True).collect()}
+        assert got == {0: 0, 1: n}
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(64_000) < 2.2 * max(seconds(32_000), 3)
+
+
+def test_windows_select_their_minima():
+    rng = random.Random(4)
+    for _ in range(50):
+        text = "\n".join(prose(rng, rng.randint(1, 30), "ab") for _ in range(rng.randint(0, 40)))
+        lines = lines_of(text)
+        low = lines["low"].tolist()
+        want = {}
+        for a, b in least_windows(lines["words"], 50):
+            assert lines["words"][a:b].sum() >= 50
+            least = min(low[a:b])
+            want.setdefault(max(k for k in range(a, b) if low[k] == least), []).append((a, b))
+        assert dict(select(lines, 50)) == want
+
+
 def test_empty_tables(frame):
     assert near_duplicates(frame([])).count() == 0
     assert keep_one(frame([])).count() == 0
