@@ -62,6 +62,7 @@ def test_lists_in_force(spark):
     captures, entries = frames(spark, CAPTURES, ENTRIES)
     got = sorted((r["page_id"], r["blocked"], r["n_active"], r["categories"], r["first_pattern"]) for r in match(captures, entries).collect())
     spam = "bad.example.org"
+    assert sorted(map(str, got)) == slow_match(CAPTURES, ENTRIES)
     want = [(1, False, 0, "", None), (2, True, 1, "spam", spam), (2, True, 1, "spam", spam), (3, True, 1, "ads", "example.org"), (4, True, 2, "ads,spam", spam), (5, True, 1, "ads", "example.org"), (6, False, 0, "", None), (7, False, 0, "", None), (8, False, 0, "", None), (9, False, 0, "", None)]
     assert sorted(map(str, got)) == sorted(map(str, want))
     valid = {(r["category"], r["valid_from"].day, r["valid_to"].day if r["valid_to"] else None, r["listed"]) for r in intervals(entries).collect()}
@@ -73,6 +74,46 @@ def test_deep_paths(spark):
     assert {r["page_id"]: r["blocked"] for r in match(captures, entries).collect()} == {1: True, 2: False}
 
 
+def slow_match(captures, entries):
+    """Every capture against every entry."""
+    import re
+
+    state = {}
+    for pattern, category, time, added, order in sorted((e for e in entries if None not in e[:3]), key=lambda e: (e[2], e[4], e[3] is not False)):
+        state.setdefault((pattern, category), []).append((time, added is not False))
+    out = []
+    for page, url, fetched in captures:
+        found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)[^/?#]*(/[^?#]*)?", url or "")
+        covers = set()
+        if found and fetched:
+            labels, path = found[1].lower().split("."), [x for x in (found[2] or "").split("/") if x]
+            for k in range(max(0, len(labels) - 6), max(1, len(labels) - 1)):  # no entry here is longer or deeper
+                covers |= {"/".join([".".join(labels[k:]), *path[:d]]) for d in range(min(6, len(path)) + 1)}
+        hits = []
+        for (pattern, category), changes in state.items():
+            before = [on for t, on in changes if fetched and t <= fetched]
+            if pattern in covers and before and before[-1]:
+                hits.append((pattern, category))
+        out.append((page, bool(hits), len(hits), ",".join(sorted({c for _, c in hits})), min((p for p, _ in hits), default=None)))
+    return sorted(map(str, out))
+
+
+def test_lists_against_brute_force(spark):
+    """Ties in time, repeated entries and captures, clashing columns, very long addresses."""
+    rng = random.Random(13)
+    hosts = ["a.org", "b.a.org", "c.b.a.org", "x.net", "localhost", "hot.com"]
+    when = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.choice((0, 30, 60, 61)) * rng.randint(0, 60))
+    entries = [(rng.choice(hosts) + rng.choice(("", "/p", "/p/q")), rng.choice(("ads", "spam", "adult")), when(), rng.random() < 0.6, k) for k in range(150)]
+    entries += entries[:20] + [("hot.com", "ads", when(), rng.random() < 0.5, 1000 + k) for k in range(200)]
+    captures = [(k, "http://" + rng.choice(hosts) + rng.choice(("", "/p", "/p/q/r", "//p?x")), when()) for k in range(300)]
+    captures += captures[:5] + [(900, "http://" + "w." * 3000 + "b.a.org/" + "p/" * 3000, when()), (901, "http://hot.com/" + "long" * 20_000, when()), (902, None, None)]
+    c, e = frames(spark, captures, entries)
+    c, e = c.selectExpr("*", "'x' as pattern", "1 as capture", "'y' as category"), e.selectExpr("*", "'z' as url", "0 as valid_from", "1 as slice")
+    got = match(c, e)
+    assert got.columns == ["page_id", "url", "fetched", "blocked", "n_active", "categories", "first_pattern"]
+    assert sorted(str((r["page_id"], r["blocked"], r["n_active"], r["categories"], r["first_pattern"])) for r in got.collect()) == slow_match(captures, entries)
+
+
 def test_empty_lists(spark):
     captures, entries = frames(spark, CAPTURES, [])
     assert not any(r["blocked"] for r in match(captures, entries).collect())
