@@ -88,11 +88,10 @@ def pages_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from .langid import identify
+    from .warc import page_texts
 
-    pages = table(spark, sf_dir, "pages")
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
-    declared = F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    return identify(pages.withColumn("text", text), "page_id", declared, F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return identify(page_texts(pages), "page_id", F.col("markup_language"), F.col("url"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,8 +2,11 @@
 
 A response is an HTTP message in a WARC record. For each, a ``conversion`` record holds its text and a ``metadata``
 record its language, title and links; both name it in ``WARC-Refers-To`` and carry its target, date and payload
-digest, and metadata repeats the headers of the source. Records are written as WARC/1.1 files by Spark's own text
-writer, whose line separator is the two line ends after a record, and are read back by content length alone.
+digest, and metadata repeats the headers of the source. Pages are written as response records first; these files are
+read, and their derivatives written beside them. Records are written as WARC/1.1 by Spark's own text writer, whose line
+separator is the two line ends after a record, compressed by gzip, and are read back by content length alone. Files
+are cut by bytes: a row of the writer holds records of ``CHUNK`` bytes (or one larger record), and a file
+``PER_FILE`` rows. Markup is scanned once from front to end, so that no page costs more than its length.
 """
 
 from __future__ import annotations
@@ -13,23 +16,24 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table_path
+from .common import delete_path, table_path
 
-#: Records to a file: a reader holds one file at a time.
-PER_FILE = 4000
+#: A reader holds one file at a time: PER_FILE rows of CHUNK bytes, a row being larger only by its last record.
+CHUNK, PER_FILE = 4 << 20, 12
+OPTIONS = {"lineSep": "\r\n\r\n", "maxRecordsPerFile": PER_FILE, "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
-_DROP = re.compile(r"<(script|style|noscript|template|head)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|main|blockquote|pre|title)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = {b"script", b"style", b"noscript", b"template", b"head", b"title"}
+_BREAKS = set(b"p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav footer header main blockquote pre".split())
+_NAME = re.compile(rb"</?([a-zA-Z][a-zA-Z0-9]*)")
+_LANG = re.compile(rb"\slang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_HREF = re.compile(rb"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
 
 
@@ -48,11 +52,87 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
+class Markup:
+    """What one forward scan over a page finds: text, title, language and links.
+
+    Comments, and elements in ``_HIDDEN``, give no text; only in the head tags count all the same. An element or a
+    comment that is never closed hides nothing, its tag alone goes. A "<" that no letter, "/", "!" or "?" follows, or
+    without a ">" after it, is text.
+    """
+
+    def __init__(self, payload: bytes):
+        self.pieces: list[bytes] = []
+        self.links: list[str] = []
+        self.title: str | None = None
+        self.language: str | None = None
+        self.payload, self.low = payload, payload.lower()  # bytes: A-Z only, so places stay
+        self.nowhere: dict[bytes, bool] = {}  # what no longer comes
+        self._scan()
+
+    def _find(self, what: bytes, at: int) -> int:
+        if self.nowhere.get(what):
+            return -1
+        found = self.low.find(what, at)
+        self.nowhere[what] = found < 0
+        return found
+
+    def _closing(self, name: bytes, at: int) -> tuple[int, int]:
+        """Where the end tag ``name`` begins and ends after ``at``; (-1, -1) if nowhere."""
+        begin = self._find(b"</" + name, at)
+        end = self._find(b">", begin) if begin >= 0 else -1
+        return (begin, end + 1) if end >= 0 else (-1, -1)
+
+    def _scan(self) -> None:
+        payload, at, head_end = self.payload, 0, 0
+        while True:
+            tag = payload.find(b"<", at)
+            text = payload[at : tag if tag >= 0 else len(payload)]
+            if text and at >= head_end:
+                self.pieces.append(text)
+            if tag < 0:
+                return
+            if payload.startswith(b"<!--", tag) and (end := self._find(b"-->", tag + 4)) >= 0:
+                at = end + 3
+                continue
+            end = self._find(b">", tag)
+            if end < 0 or not (payload[tag + 1 : tag + 2].isalpha() or payload[tag + 1 : tag + 2] in (b"/", b"!", b"?")):
+                self._part(b"<", tag, head_end)
+                at = tag + 1
+                continue
+            at = end + 1
+            named = _NAME.match(payload, tag, end)
+            if not named:
+                continue
+            name, opens = named[1].lower(), payload[tag + 1 : tag + 2] != b"/"
+            if opens and name in _HIDDEN:
+                begin, after = self._closing(name, at)
+                if begin >= 0:
+                    if name == b"title" and self.title is None:
+                        self.title = " ".join(html.unescape(payload[at:begin].decode("utf-8", "replace")).split())
+                    if name == b"head":
+                        head_end = max(head_end, after)
+                    else:
+                        at = after
+            elif name in _BREAKS:
+                self._part(b"\n", tag, head_end)
+            elif opens and name == b"a" and (found := _HREF.search(payload, tag, end)):
+                self.links.append(re.sub(r"[\r\n]", "", html.unescape((found[1] or found[2] or found[3] or b"").decode("utf-8", "replace"))))
+            elif opens and name == b"html" and self.language is None and (found := _LANG.search(payload, tag, end)):
+                self.language = found[1].decode().lower()
+
+    def _part(self, piece: bytes, at: int, head_end: int) -> None:
+        if at >= head_end:
+            self.pieces.append(piece)
+
+    def text(self) -> str:
+        """Visible text with a line for each block."""
+        text = html.unescape(b"".join(self.pieces).decode("utf-8", "replace"))
+        lines = (_BLANKS.sub(" ", x).strip() for x in text.split("\n"))
+        return "\n".join(x for x in lines if x)
+
+
 def plain_text(markup: str) -> str:
-    """Visible text with a line for each block."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", markup))))
-    lines = (_BLANKS.sub(" ", x).strip() for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+    return Markup(markup.encode("utf-8", "replace")).text()
 
 
 def response(page_id: int | None, url: str | None, markup: str | None, date: str) -> tuple[list[tuple[str, str]], bytes]:
@@ -68,19 +148,18 @@ def derivatives(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list
     """The metadata and conversion records of a response record."""
     source = dict(headers)
     head, _, payload = block.partition(b"\r\n\r\n")
-    markup = payload.decode("utf-8", "replace")
+    page = Markup(payload)
     link = [("WARC-Refers-To", source["WARC-Record-ID"])]
     if "WARC-Target-URI" in source:
         link += [("WARC-Refers-To-Target-URI", source["WARC-Target-URI"]), ("WARC-Target-URI", source["WARC-Target-URI"])]
     link += [("WARC-Refers-To-Date", source["WARC-Date"]), ("WARC-Date", source["WARC-Date"])]
-    text = plain_text(markup).encode()
-    title, lang = _TITLE.search(markup), _LANG.search(markup)
+    text = page.text().encode("utf-8", "replace")
     fields = [f"source-{line}" for line in head.decode("latin-1").split("\r\n")[1:]]
     fields += [f"source-payload-digest: {source['WARC-Payload-Digest']}", f"source-block-digest: {source['WARC-Block-Digest']}"]
-    fields += [f"language: {lang[1].lower()}"] if lang else []
-    fields += ["title: " + " ".join(html.unescape(title[1]).split())] if title else []
-    fields += ["outlink: " + re.sub(r"[\r\n]", "", html.unescape(next(filter(None, m), ""))) for m in _LINK.findall(markup)]
-    facts = ("\r\n".join(fields) + "\r\n").encode()
+    fields += [f"language: {page.language}"] if page.language else []
+    fields += [f"title: {page.title}"] if page.title else []
+    fields += [f"outlink: {x}" for x in page.links]
+    facts = ("\r\n".join(fields) + "\r\n").encode("utf-8", "replace")
     out = []
     for kind, body, mime in (("metadata", facts, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
         ident = record_id(kind, source["WARC-Record-ID"])
@@ -88,6 +167,18 @@ def derivatives(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list
     return out
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and markup_language of ``pages`` (page_id, url, html)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Markup((x.as_py() or "").encode("utf-8", "replace")) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.text() for m in found], pa.string()), pa.array([m.language for m in found], pa.string())], ["page_id", "url", "text", "markup_language"])
+
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return slim.mapInArrow(run, "page_id long, url string, text string, markup_language string")
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records of a WARC file, by their content lengths."""
     at = 0
@@ -102,22 +193,61 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def write_derivatives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write the metadata and conversion records of ``pages`` (page_id, url, html) as WARC files under ``path``.
+def unzipped(data: bytes) -> bytes:
+    """The whole of a gzip file, of one member or several."""
+    out = []
+    while data:
+        stream = zlib.decompressobj(31)
+        out += [stream.decompress(data), stream.flush()]
+        data = stream.unused_data
+    return b"".join(out)
+
+
+def chunks(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Records as rows of the text writer, ``CHUNK`` bytes together."""
+    held, size = [], 0
+    for r in records:
+        held.append(r)
+        size += len(r)
+        if size >= CHUNK:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held).decode()], pa.string())], ["value"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held).decode()], pa.string())], ["value"])
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+
+
+def write_responses(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
+    """Write ``pages`` (page_id, url, html) as response records in WARC files under ``path``.
 
     Null html is an empty page, a null url leaves out the target. Equal rows have equal record ids. Other columns
     are ignored; an empty table gives no records.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200).to_pylist()
-                made = [record(*r) for x in rows for r in derivatives(*response(x["page_id"], x["url"], x["html"], date))]
-                yield pa.RecordBatch.from_arrays([pa.array([m.decode() for m in made], pa.string())], ["value"])
+            for row in zip(*(c for c in batch.columns), strict=True):
+                yield record(*response(*(x.as_py() for x in row), date))
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    slim.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).option("compression", "none").text(path)
+    slim.mapInArrow(lambda batches: chunks(made(batches)), "value string").write.options(**OPTIONS).text(path)
+
+
+def write_derivatives(spark: SparkSession, source: str, path: str) -> None:
+    """Write the metadata and conversion records of the response records in the files under ``source`` as WARC files
+    under ``path``. Records of other types are passed over."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for content in batch.column(0):
+                for headers, block in parse(unzipped(content.as_py())):
+                    if headers.get("WARC-Type") == "response":
+                        yield from (record(*r) for r in derivatives(list(headers.items()), block))
+
+    files(spark, source).mapInArrow(lambda batches: chunks(made(batches)), "value string").write.options(**OPTIONS).text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +259,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = []
-                for headers, block in parse(batch.column(0)[k].as_py()):
+                for headers, block in parse(unzipped(batch.column(0)[k].as_py())):
                     rows.append((*(headers.get(n) for n in names), headers.get("WARC-Block-Digest") == digest(block), len(block), block))
                     if len(rows) == 500:
                         yield batch_of(rows)
@@ -142,15 +272,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [*names.values(), "digest_ok", "length", "block"])
 
     schema = ", ".join(f"{n} string" for n in names.values()) + ", digest_ok boolean, length long, block binary"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, schema)
+    return files(spark, path).mapInArrow(run, schema)
 
 
 def derive(pages: DataFrame) -> DataFrame:
-    """Write the derivatives of ``pages`` to the shared folder and read them back: a row for each record with its
-    length in bytes, checked digest, and for conversions the number of characters and words of the text."""
+    """Write ``pages`` as responses to the shared folder, and from these files their derivatives, and read them back:
+    a row for each record with its length in bytes, checked digest, and for conversions the number of characters and
+    words of the text. The responses' files go once their derivatives are written."""
     spark = pages.sparkSession
-    path = table_path(spark, "derivatives") + ".warc"
-    write_derivatives(pages, path)
+    source, path = (table_path(spark, tag) + ".warc" for tag in ("responses", "derivatives"))
+    write_responses(pages, source)
+    write_derivatives(spark, source, path)
+    delete_path(spark, source)
     text = F.when(F.col("type") == "conversion", F.decode("block", "UTF-8"))
     found = read_records(spark, path)
     return found.select("type", "record_id", "refers_to", "target_uri", "date", "source_digest", "block_digest", "digest_ok", "length", F.length(text).cast("long").alias("n_chars"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))

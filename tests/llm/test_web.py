@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
+import hashlib
 import random
+import time
+from html.parser import HTMLParser
 
 from millrace.llm.decontam import leaks, remove_contaminated
 from millrace.llm.urlfilter import SQL, intervals, match
-from millrace.llm.warc import derivatives, digest, parse, plain_text, read_records, record, response, write_derivatives
+from millrace.llm.warc import CHUNK, Markup, chunks, derivatives, derive, digest, parse, plain_text, read_records, record, response, write_derivatives, write_responses
 
 from .conftest import prose, rows_for
 
@@ -153,14 +157,99 @@ def test_records_parse_back():
     assert dict(headers)["WARC-Target-URI"] == "http://e.org/X: y"
 
 
+def test_markup_costs_its_length():
+    def seconds(n):
+        began = time.time()
+        for unit in (b"<script ", b"<head><script>", b"<!-- ", b"<a href=", b"</title", b"<", b"<p href   "):
+            Markup(unit * (n // len(unit)))
+        return time.time() - began
+
+    assert seconds(2_000_000) < 7
+    assert plain_text("a<script >b") == "ab" and plain_text("<!-- a") == "<!-- a" and plain_text("1 < 2") == "1 < 2"
+
+
+class Reader(HTMLParser):
+    """The same by the standard library's parser."""
+
+    def __init__(self, markup):
+        super().__init__()
+        self.out, self.links, self.titles, self.lang, self.inside = [], [], [], None, []
+        self.feed(markup)
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag in ("script", "style", "head", "title"):
+            self.inside.append(tag)
+        if tag in ("p", "div", "li", "ul", "h1", "br"):
+            self.out.append("\n")
+        if tag == "a":
+            self.links.append(attrs["href"])
+        self.lang = attrs.get("lang", self.lang) if tag == "html" else self.lang
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            self.inside.remove(tag)
+        if tag in ("p", "div", "li", "ul", "h1"):
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if self.inside[-1:] == ["title"]:
+            self.titles.append(data)
+        elif not self.inside:
+            self.out.append(data)
+
+
+def pages_at_random(rng, n):
+    for k in range(n):
+        body = "".join(rng.choice((f"<p>{prose(rng, 5)}</p>", f"<div class='x'>{prose(rng, 3)} &amp; ä<br>b</div>", f'<a class=q href="/{k}?a=1&amp;b">l</a>', "<!-- <p>no</p> -->", "<script>if (a<b) { '<p>' }</script>", "<ul><LI>one<li>two</UL>", " ")) for _ in range(rng.randint(0, 12)))
+        yield f'<!doctype html><html lang="De"><head><title>T {k} &lt;</title><style>p{{}}</style></head><body>{body}</body></html>'
+
+
+def test_derivatives_against_another_parser(spark, tmp_path):
+    """Links, digests, headers and texts of every record, from files written and read."""
+    rng = random.Random(3)
+    rows = [(k, f"http://e.org/{k}", h) for k, h in enumerate(pages_at_random(rng, 60))]
+    source, path = str(tmp_path / "r.warc"), str(tmp_path / "d.warc")
+    write_responses(spark.createDataFrame(rows, "page_id long, url string, html string"), source)
+    write_derivatives(spark, source, path)
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    responses = {r["target_uri"]: r for r in read_records(spark, source).collect()}
+    assert len(responses) == len(rows)
+    got = read_records(spark, path).collect()
+    assert len(got) == 2 * len(rows) and len({r["record_id"] for r in got}) == len(got)
+    for r in got:
+        k = int(r["target_uri"].rsplit("/", 1)[1])
+        payload, block = rows[k][2].encode(), bytes(r["block"])
+        want = Reader(rows[k][2])
+        assert r["refers_to"] == responses[r["target_uri"]]["record_id"] and r["date"] == responses[r["target_uri"]]["date"]
+        assert bytes(responses[r["target_uri"]]["block"]).endswith(b"\r\n\r\n" + payload)
+        assert r["source_digest"] == sha(payload) and r["block_digest"] == sha(block) and r["digest_ok"]
+        if r["type"] == "conversion":
+            assert block.decode().split() == "".join(want.out).split()
+        else:
+            fields = [x.split(": ", 1) for x in block.decode().splitlines()]
+            assert [v for f, v in fields if f == "outlink"] == want.links
+            assert ["title", "".join(want.titles)] in fields and ["language", "de"] in fields
+            assert ["source-Content-Length", str(len(payload))] in fields and ["source-payload-digest", sha(payload)] in fields
+
+
 def test_files(spark, tmp_path):
-    rows = [(1, "http://a.org/", HTML, "x"), (2, None, None, "x"), (None, "http://b.org", "é\r\n\r\nWARC/1.1\r\n\r\n日本", "x"), (1, "http://a.org/", HTML, "x"), (5, "http://long.org", "<p>word</p>" * 50_000, "x")]
+    rows = [(1, "http://a.org/", HTML, "x"), (2, None, None, "x"), (None, "http://b.org", "é\r\n\r\nWARC/1.1\r\n\r\n日本", "x"), (1, "http://a.org/", HTML, "x"), (5, "http://long.org", "<p>word</p>" * 900_000, "x"), (6, "http://last.org", "x", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_id string")
-    path = str(tmp_path / "w.warc")
-    write_derivatives(pages, path)
+    source, path = str(tmp_path / "r.warc"), str(tmp_path / "w.warc")
+    write_responses(pages, source)
+    write_derivatives(spark, source, path)
     got = read_records(spark, path).collect()
     want = [(dict(h)["WARC-Record-ID"], b) for r in rows for h, b in derivatives(*response(*r[:3], "2024-01-01T00:00:00Z"))]
     assert sorted((r["record_id"], bytes(r["block"])) for r in got) == sorted(want)
     assert all(r["digest_ok"] for r in got)
-    write_derivatives(pages.limit(0), path + "0")
+    write_responses(pages.limit(0), source + "0")
+    write_derivatives(spark, source + "0", path + "0")
     assert read_records(spark, path + "0").count() == 0
+    assert derive(pages).count() == 2 * len(rows)
+
+
+def test_files_are_cut_by_bytes():
+    records = [b"x" * n for n in (CHUNK - 1, 5, 7, 3 * CHUNK, 2)]
+    sizes = [len(b.column(0)[0].as_py()) for b in chunks(iter(records))]
+    assert len(sizes) == 3 and max(sizes) < 4 * CHUNK
