@@ -9,8 +9,9 @@ Four kinds of evidence give log-probabilities for each language, and their sum t
 * no language at all: a text whose trigrams fit its best language worse than nearly all rows of that language and
   length do, or that has no letters, is more likely of an unknown language, which takes its share of the posterior.
 
-Everything is counted over the whole table by grouped aggregation. The model has ``BUCKETS`` numbers for each of at
-most ``max_languages`` languages, the most declared ones; hosts can be many and meet their rows by a join.
+Everything is counted over the whole table by grouped aggregation. Every declared language is modelled, by ``BUCKETS``
+numbers. A table that declares more than ``max_languages`` is refused, so that the model's size has a bound and no
+language is left out in silence; hosts can be many and meet their rows by a join.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialise, text_or_empty
+from .common import free_name, materialise, row_key, text_or_empty
 
 BUCKETS = 1 << 14
 FULL_CLASS = 20  # rows of one language and length that make a band of fits
@@ -65,23 +66,30 @@ def count_trigrams(rows: DataFrame, languages: list[str]) -> np.ndarray:
     number = {x: k for k, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), BUCKETS), np.int64)
+        sums: dict[int, np.ndarray] = {}
+
+        def held() -> Iterator[pa.RecordBatch]:
+            for language, own in sums.items():
+                bucket = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), language, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(own[bucket])], ["language", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
                 part = batch.slice(at, 300)
                 codes, bounds = trigrams(part.column(0).cast(pa.large_binary()).to_pylist())
                 kind = np.array([number.get(x, -1) for x in part.column(1).to_pylist()])
                 where = np.repeat(kind, np.diff(bounds))
-                known = where >= 0
-                sums += np.bincount(where[known] * BUCKETS + codes[known], minlength=sums.size).reshape(sums.shape)
-        language, bucket = np.nonzero(sums)
-        if len(language):
-            yield pa.RecordBatch.from_arrays([pa.array(language.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[language, bucket])], ["language", "bucket", "n"])
+                for k in np.unique(kind[kind >= 0]).tolist():
+                    sums[k] = sums.get(k, 0) + np.bincount(codes[where == k], minlength=BUCKETS)
+                if len(sums) > 256:
+                    yield from held()
+        yield from held()
 
     found = rows.select("text", "declared").mapInArrow(run, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    got = found.toArrow()  # BUCKETS rows for each language at most
     counts = np.zeros((len(languages), BUCKETS))
-    for r in found.collect():  # BUCKETS for each language at most
-        counts[r[0], r[1]] = r[2]
+    counts[got["language"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     return counts
 
 
@@ -127,7 +135,13 @@ def least_fits(texts: DataFrame, size: int, reach: float = 3.0) -> list[list[flo
     return cuts
 
 
-def identify(docs: DataFrame, key: str, declared: Column, address: Column, text: str = "text", least_posterior: float = 0.6, accepted: list[str] | None = None, max_languages: int = 64, strength: float = 20.0) -> DataFrame:
+def _spread(counts: DataFrame, by: list[str], size: int) -> DataFrame:
+    """``by`` columns and ``n``, an array of counts by language, of ``counts`` (by, by_text, n)."""
+    listed = counts.groupBy(*by, "by_text").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("by_text", "n"))).alias("m"))
+    return listed.select(*by, F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("n"))
+
+
+def identify(docs: DataFrame, key: str, declared: Column, address: Column, text: str = "text", least_posterior: float = 0.6, accepted: list[str] | None = None, max_languages: int = 1024, strength: float = 20.0) -> DataFrame:
     """A row for each row of ``docs``: its ``key`` column, language, posterior, text_language (by the text alone),
     declared, n_trigrams and kept.
 
@@ -135,49 +149,51 @@ def identify(docs: DataFrame, key: str, declared: Column, address: Column, text:
     Without letters in its text (null, empty) the declared language and the host decide alone which language is
     likeliest, but an unknown one is as likely as all of them together. Null declared
     languages and addresses are evidence of their own kind. Without any declared language in the table every row is
-    "und" and none is kept. Equal rows are judged one by one; ties go to the language declared most often. An empty
+    "und" and none is kept. More than ``max_languages`` declared ones are a ValueError. Equal rows are judged one by
+    one; ties go to the language declared most often. Other columns don't matter, whatever their names; an empty
     table gives no rows.
     """
+    spark = docs.sparkSession
     host, suffix = host_and_suffix(address)
-    rows = docs.select(F.col(key), text_or_empty(text).alias("text"), declared_language(declared).alias("declared"), host.alias("host"), suffix.alias("suffix"))
-    said = rows.where(F.col("declared") != NONE).groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(max_languages).collect()
+    rows = docs.select(F.col(key).alias("row_key"), text_or_empty(text).alias("text"), declared_language(declared).alias("declared"), host.alias("host"), suffix.alias("suffix"))
+    said = rows.where(F.col("declared") != NONE).groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(max_languages + 1).collect()
     languages = [r["declared"] for r in said]
-    names = F.array(*map(F.lit, languages)) if languages else F.array().cast("array<string>")
     size = len(languages)
+    if size > max_languages:
+        raise ValueError(f"over {max_languages} declared languages; give a cleaner declared column or a larger max_languages")
     if not size:
-        return rows.select(key, F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_language"), "declared", F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
-    slim = materialise(likelihoods(rows, count_trigrams(rows, languages), [key, "declared", "host", "suffix"]), "likelihoods")
+        return rows.select(F.col("row_key").alias(key), F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_language"), "declared", F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
+    slim = materialise(likelihoods(rows, count_trigrams(rows, languages), ["row_key", "declared", "host", "suffix"]), "likelihoods")
     best = lambda c: F.array_position(c, F.array_max(c)).cast("int")
     texts = slim.withColumn("by_text", F.when(F.col("n_trigrams") > 0, best(F.col("logs"))))
 
-    pairs = texts.where("by_text is not null").groupBy("by_text", "declared").agg(F.count("*").alias("n"))
-    shares = np.full((size, size + 1), 0.5)  # what rows of a language declare: each language, or none of these
-    for r in pairs.where(F.col("declared").isin([*languages, NONE])).collect():  # languages squared at most
-        shares[r["by_text"] - 1, languages.index(r["declared"]) if r["declared"] in languages else size] += r["n"]
+    place_of = {x: k for k, x in enumerate([*languages, NONE])}
+    shares = np.full((size, size + 1), 0.5)  # what rows of a language declare: each language, or none
+    for r in texts.where("by_text is not null").groupBy("by_text", "declared").agg(F.count("*").alias("n")).collect():  # languages squared at most
+        shares[r["by_text"] - 1, place_of[r["declared"]]] += r["n"]
     said_logs = np.log(shares / shares.sum(1, keepdims=True))
     prior = shares.sum(1) / shares.sum()
-    numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    which = F.array_position(names, F.col("declared")).cast("int")
-    declared_logs = F.element_at(F.array(*[numbers(said_logs[:, d]) for d in [*range(size), size]]), F.when(which > 0, which).otherwise(size + 1))
+    # two tables of at most ``max_languages`` rows with as many numbers
+    evidence = spark.createDataFrame([(x, said_logs[:, k].tolist()) for x, k in place_of.items()], "declared string, declared_logs array<double>")
+    names = spark.createDataFrame([(k + 1, x, cuts) for k, (x, cuts) in enumerate(zip(languages, least_fits(texts, size), strict=True))], "place int, name string, cuts array<double>")
+    whole = F.array(*[F.lit(float(x)) for x in prior])
 
     seen = texts.where("by_text is not null").groupBy("host", "suffix", "by_text").agg(F.count("*").alias("n"))
-    tally = [F.sum(F.when(F.col("by_text") == k + 1, F.col("n")).otherwise(0)) for k in range(size)]
-    suffixes = seen.groupBy("suffix").agg(F.array(*tally).alias("n"))
-    hosts = seen.groupBy("host", "suffix").agg(F.array(*tally).alias("n"))
-    smooth = lambda n, upper: F.transform(F.arrays_zip(n.alias("n"), upper.alias("p")), lambda x: (x["n"] + strength * x["p"]) / (F.aggregate(n, F.lit(0).cast("long"), lambda a, b: a + b) + strength))
-    suffixes = suffixes.select("suffix", smooth(F.col("n"), numbers(prior)).alias("suffix_prior"))
-    hosts = hosts.join(suffixes, "suffix").select("host", "suffix", smooth(F.col("n"), F.col("suffix_prior")).alias("host_prior"))
-    hosts, suffixes = materialise(hosts, "hosts"), materialise(suffixes, "suffixes")
-
-    joined = texts.join(hosts, ["host", "suffix"], "left").join(suffixes, "suffix", "left")
-    place = F.coalesce("host_prior", "suffix_prior", numbers(prior))
-    total = F.transform(F.arrays_zip(F.col("logs").alias("t"), declared_logs.alias("d"), place.alias("p")), lambda x: x["t"] + x["d"] + F.log(x["p"]))
-    scored = joined.withColumn("total", total).withColumn("top", F.array_max("total"))
-    cuts = F.array(*map(numbers, least_fits(texts, size)))
-    cut = F.element_at(F.element_at(cuts, F.col("by_text")), F.floor(F.log2("n_trigrams")).cast("int") + 1)
-    unknown = F.coalesce(F.exp(F.least(F.col("n_trigrams") * cut / 3 - F.array_max("logs"), F.lit(500.0))), F.lit(1.0))
+    smooth = lambda n, upper: F.zip_with(n, upper, lambda x, p: (x + strength * p) / (F.aggregate(n, F.lit(0).cast("long"), lambda a, b: a + b) + strength))
+    suffixes = _spread(seen, ["suffix"], size).select("suffix", smooth(F.col("n"), whole).alias("suffix_prior"))
+    suffixes = materialise(suffixes, "suffixes")
+    hosts = materialise(_spread(seen, ["host", "suffix"], size).join(suffixes, "suffix").select("host", "suffix", smooth(F.col("n"), F.col("suffix_prior")).alias("host_prior")), "hosts")
+
+    joined = texts.join(hosts, ["host", "suffix"], "left").join(suffixes, "suffix", "left").join(F.broadcast(evidence), "declared", "left")
+    place = F.coalesce("host_prior", "suffix_prior", whole)
+    total = F.transform(F.arrays_zip(F.col("logs").alias("t"), F.col("declared_logs").alias("d"), place.alias("p")), lambda x: x["t"] + x["d"] + F.log(x["p"]))
+    scored = joined.withColumn("total", total).withColumn("top", F.array_max("total")).withColumn("winner", best(F.col("total")))
+    scored = scored.join(F.broadcast(names.select(F.col("place").alias("winner"), F.col("name").alias("language"))), "winner")
+    scored = scored.join(F.broadcast(names.select(F.col("place").alias("by_text"), F.col("name").alias("by_text_name"), "cuts")), "by_text", "left")
+    cut = F.element_at("cuts", F.floor(F.log2("n_trigrams")).cast("int") + 1)
+    unknown = F.when(F.col("by_text").isNull(), 1.0).otherwise(F.exp(F.least(F.col("n_trigrams") * cut / 3 - F.array_max("logs"), F.lit(500.0))))
     posterior = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))) / (1 + unknown)
-    found = scored.select(key, F.element_at(names, best(F.col("total"))).alias("language"), posterior.alias("posterior"), F.coalesce(F.get(names, F.col("by_text") - 1), F.lit("und")).alias("text_language"), "declared", "n_trigrams")
+    found = scored.select(F.col("row_key").alias(key), "language", posterior.alias("posterior"), F.coalesce("by_text_name", F.lit("und")).alias("text_language"), "declared", "n_trigrams")
     kept = F.col("posterior") >= least_posterior
     if accepted is not None:
         kept = kept & F.col("language").isin(accepted)
@@ -185,8 +201,9 @@ def identify(docs: DataFrame, key: str, declared: Column, address: Column, text:
 
 
 def keep_identified(docs: DataFrame, declared: str = "lang", address: str = "source", **options: object) -> DataFrame:
-    """The rows of ``docs`` that ``identify`` keeps, with their columns."""
+    """The rows of ``docs`` that ``identify`` keeps, with their columns; ``docs`` has the columns ``declared`` and
+    ``address``. Equal rows go or stay together."""
     key = free_name(docs, "row_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), text_or_empty(), F.col(declared), F.col(address)))
+    keyed = docs.withColumn(key, row_key("doc_id", text_or_empty(), declared, address))
     bad = identify(keyed, key, F.col(declared), F.col(address), **options).where("not kept").select(key).distinct()
     return keyed.join(materialise(bad, "rejected"), key, "left_anti").select(*docs.columns)

@@ -91,10 +91,103 @@ def test_unknown_languages_go(frame):
     assert kept == {r[0] for r in rows if r[0] < 900}
 
 
+def slow_identify(rows, strength=20.0):
+    """(id, language, posterior, text language) of each row, one at a time: plain loops over trigrams and rows."""
+    buckets = 1 << 14
+
+    def grams(text):
+        raw = bytes(c | 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in b" " + text.encode() + b"  ")
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(raw) - 2) if raw[i + 1] != 32]
+
+    texts = [grams(r[1] or "") for r in rows]
+    said = [r[2] or "-" for r in rows]
+    order = Counter(x for x in said if x != "-")
+    langs = sorted(order, key=lambda x: (-order[x], x))
+    counts = {x: Counter(g for t, d in zip(texts, said, strict=True) if d == x for g in t) for x in langs}
+    logs = []
+    for t in texts:
+        logs.append([sum(math.log((counts[x][g] + 0.5) / (sum(counts[x].values()) + buckets / 2)) / 3 for g in t) for x in langs])
+    by_text = [max(range(len(langs)), key=lambda k, v=v: (v[k], -k)) if t else None for v, t in zip(logs, texts, strict=True)]
+    shares = {k: Counter({d: 0.5 for d in [*langs, "-"]}) for k in range(len(langs))}
+    for b, d in zip(by_text, said, strict=True):
+        if b is not None:
+            shares[b][d] += 1
+    prior = [sum(shares[k].values()) / sum(sum(s.values()) for s in shares.values()) for k in range(len(langs))]
+    hosts = [r[3].lower() if r[3] else "" for r in rows]
+    suffix = [h.rsplit(".", 1)[1] if "." in h else "" for h in hosts]
+
+    def smoothed(same, upper):
+        n = Counter(b for b, s in zip(by_text, same, strict=True) if s and b is not None)
+        return [(n[k] + strength * upper[k]) / (sum(n.values()) + strength) for k in range(len(langs))]
+
+    def cut(k, size):
+        full = {}
+        for c in range(40):
+            fits = sorted(v[k] * 3 / len(t) for v, t, b in zip(logs, texts, by_text, strict=True) if b == k and int(math.log2(len(t))) == c)
+            if len(fits) >= 20:
+                full[c] = [fits[math.ceil(len(fits) * q) - 1] for q in (0.25, 0.75)]
+        chance = -math.log(buckets)
+        if not full:
+            return chance
+        near = min(full, key=lambda c: (abs(c - size), c))
+        low, high = full[near]
+        return max(chance, min((low + chance) / 2, low - 3 * (high - low) * 2 ** (max(0, near - size) / 2)))
+
+    out = []
+    for i, r in enumerate(rows):
+        p = smoothed([h == hosts[i] and s == suffix[i] for h, s in zip(hosts, suffix, strict=True)], smoothed([s == suffix[i] for s in suffix], prior))
+        total = [logs[i][k] + math.log(shares[k][said[i]] / sum(shares[k].values())) + math.log(p[k]) for k in range(len(langs))]
+        top = max(total)
+        unknown = 1.0 if by_text[i] is None else math.exp(min(500, len(texts[i]) * cut(by_text[i], int(math.log2(len(texts[i])))) / 3 - max(logs[i])))
+        posterior = 1 / sum(math.exp(x - top) for x in total) / (1 + unknown)
+        out.append((r[0], langs[total.index(top)], posterior, "und" if by_text[i] is None else langs[by_text[i]]))
+    return out
+
+
+def test_fusion_against_plain_loops(frame):
+    _, rows = language_rows(n=120)
+    rows = [(*r[:3], rng_host(i), *r[4:]) for i, r in enumerate(rows)]
+    rows += [(500, "", "de", "a.de", 0, "x", 1), (501, None, None, None, 0, "x", 1), (502, "xyz", "fr", "new.fr", 3, "x", 1), (503, "aei ou", None, "a.de", 3, "x", 1), rows[0]]
+    got = sorted(map(tuple, identify(frame(rows), "doc_id", F.col("lang"), F.col("source")).select("doc_id", "language", "posterior", "text_language").collect()))
+    for have, want in zip(got, sorted(slow_identify(rows)), strict=True):
+        assert (have[0], have[1], have[3]) == (want[0], want[1], want[3])
+        assert have[2] == pytest.approx(want[2], rel=1e-6)
+
+
+def rng_host(i):
+    return ("a.de", "b.de", "c.fr", "d.example.com", None)[i % 5]
+
+
+def test_every_declared_language_is_modelled(frame):
+    rng = random.Random(10)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tags = ["q" + a + b for a in "abcdefgh" for b in letters][:90]
+    alphabets = {t: "".join(rng.sample(letters, 6)) for t in tags}
+    rows = rows_for([prose(rng, 60, alphabets[t]) for t in tags for _ in range(3)], [t for t in tags for _ in range(3)])
+    got = {r["doc_id"]: r["language"] for r in identify(frame(rows), "doc_id", F.col("lang"), F.col("source")).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) > 0.95 * len(rows)
+    with pytest.raises(ValueError, match="declared languages"):
+        identify(frame(rows), "doc_id", F.col("lang"), F.col("source"), max_languages=64)
+
+
+def test_pages(spark):
+    from millrace.llm.queries import pages_langid
+
+    got = pages_langid(spark, "/root/testdata/sf0.01")
+    assert got.columns == ["page_id", "language", "posterior", "text_language", "declared", "n_trigrams", "kept"]
+    rows = got.collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/pages.parquet").count()
+    assert sum(r["kept"] for r in rows) > 0.9 * len(rows)
+    sure = [r for r in rows if r["declared"] != "-"]
+    assert sum(r["language"] == r["declared"] for r in sure) > 0.8 * len(sure)
+
+
 def test_language_edges(frame, odd):
     assert keep_identified(frame([])).count() == 0
     nothing = frame([(1, "text", None, None, 4, "x", 1)])
     assert keep_identified(nothing).count() == 0
+    clash = frame([(1, "text", "en", "a.org", 4, "x", 1)]).selectExpr("*", "'h' as host", "1 as declared", "2 as suffix", "3 as logs", "4 as language")
+    assert identify(clash, "doc_id", F.col("lang"), F.col("source")).count() == 1 and keep_identified(clash).columns == clash.columns
     _, rows = language_rows()
     kept = keep_identified(frame(rows + odd))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "row_key", "runs"]
