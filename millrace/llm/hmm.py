@@ -1,10 +1,10 @@
 """Operator 4: a hidden Markov language model, trained by Baum-Welch and scored by the exact forward recursion.
 
-Tokens are words and one end for each document. The hidden states emit symbols: each of the ``n_words`` most
-frequent words is a symbol of its own, every other word belongs to a symbol for its last letters, and the end is
-a symbol. Given its symbol, a word has its add-one probability among the words of that symbol, with one place for
-all unseen words, so text probabilities add up to one. The alphabet, and with it the model, has a fixed size at any
-input; all counts come from all training documents.
+Tokens are words and one end for each document. The hidden states emit symbols: every word that was seen ``min_count``
+times is a symbol of its own, as are the ``n_words`` most frequent ones in any case; every other word belongs to a
+symbol for its last letters, and the end is a symbol. Given its symbol, a word has its add-one probability among the
+words of that symbol, with one place for all unseen words, so text probabilities add up to one. The alphabet grows with
+the corpus, up to the two bytes of a symbol; all counts come from all training documents.
 
 1. Each task numbers the distinct words of its rows and writes its documents as these numbers, with the words.
 2. Word counts are sums over the tasks' distinct words; counts go back to each task's words by a join on the word.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty
 
 END = b" "  # no word holds a space
-SPLIT = 400_000  # a task starts a new numbering after so many distinct words
+SPLIT = 400_000  # a task starts a new numbering after so many distinct words,
+PART_TOKENS = 16_000_000  # or so many tokens: a part's documents and words are one frame of the join
+MOST_SYMBOLS = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,18 +40,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers under 2**24 byte plane by byte plane: small numbers make planes that compress to little."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+    """Numbers byte plane by byte plane: small numbers make planes that compress to little."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    low, mid, high = np.frombuffer(planes, np.uint8).reshape(3, -1).astype(np.uint32)
-    return low | mid << np.uint32(8) | high << np.uint32(16)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """Document rows (doc_id, held_out, planes) and word rows (word, local, n: count in training rows), by part."""
     schema = "part long, doc_id long, held_out boolean, planes binary, word binary, local int, n long"
+    most_words, most_tokens = SPLIT, PART_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId(), 0
@@ -69,27 +71,33 @@ def _numbered(docs: DataFrame) -> DataFrame:
                 yield rows(len(own), (task << 32) + serial, word=pa.array(own, pa.binary()), local=pa.array(np.arange(at, at + len(own), dtype=np.int32)), n=pa.array(counts[at : at + len(own)]))
             index, counts, serial = {}, np.zeros(0, np.int64), serial + 1
 
+        tokens_here = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = []
-                texts, left_out = part.column("text").cast(pa.large_binary()).to_pylist(), part.column("held_out").to_pylist()
-                train = []
-                for text, skip in zip(texts, left_out, strict=True):
-                    tokens = [*text.lower().split(), END]
+            texts, left_out = batch.column("text").cast(pa.large_binary()), batch.column("held_out").to_pylist()
+            begin = 0
+            while begin < batch.num_rows:
+                out, train, end = [], [], begin
+                # up to 500 documents, fewer where the numbering is full
+                while end < batch.num_rows and end < begin + 500 and len(index) <= most_words and tokens_here <= most_tokens:
+                    tokens = [*texts[end].as_py().lower().split(), END]
                     for t in tokens:
                         if t not in index:
                             index[t] = len(index)
                     numbers = np.fromiter(map(index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+                    tokens_here += len(tokens)
                     out.append(_planes(numbers))
-                    if not skip:
+                    if not left_out[end]:
                         train.append(numbers)
+                    end += 1
                 counts = np.concatenate((counts, np.zeros(len(index) - len(counts), np.int64)))
                 if train:
                     counts += np.bincount(np.concatenate(train), minlength=len(index))
+                part = batch.slice(begin, end - begin)
                 yield rows(part.num_rows, (task << 32) + serial, doc_id=part.column("doc_id"), held_out=part.column("held_out"), planes=pa.array(out, pa.binary()))
-                if len(index) > SPLIT:
+                begin = end
+                if len(index) > most_words or tokens_here > most_tokens:
                     yield from words()
+                    tokens_here = 0
         yield from words()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), held_out(F.col("doc_id")).alias("held_out"))
@@ -231,12 +239,13 @@ def baum_welch(encoded: DataFrame, model: Model, weights: np.ndarray, rounds: in
     return model
 
 
-def score_texts(docs: DataFrame, states: int = 8, rounds: int = 4, n_words: int = 4096, n_endings: int = 4096) -> DataFrame:
+def score_texts(docs: DataFrame, states: int = 8, rounds: int = 4, n_words: int = 4096, n_endings: int = 4096, min_count: int = 20_000) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) by a model learnt from those that are not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram, log10) and score (log10
     probability of the whole text under the hidden Markov model). Null or empty text is one end token. Equal rows are
     trained on and scored one by one. A null doc_id counts as the id "". Without training rows all words are unseen.
+    Words seen ``min_count`` times have symbols of their own, the ``n_words`` most frequent anyhow (the end is one).
     Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -245,6 +254,7 @@ def score_texts(docs: DataFrame, states: int = 8, rounds: int = 4, n_words: int
     counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")), "counts").where("c > 0")
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, n_types = int(totals[0] or 0), int(totals[1])
+    n_words = min(max(n_words, counts.where(F.col("c") >= min_count).count() + 1), MOST_SYMBOLS - n_endings)
     top = [bytes(r[0]) for r in counts.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("c"), "word").limit(n_words - 1).select("word").collect()]
     number = {w: k for k, w in enumerate(top)} | {END: n_words - 1}
     known = spark.sparkContext.broadcast(number)

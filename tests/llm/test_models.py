@@ -224,6 +224,80 @@ def test_rounds_raise_the_likelihood():
     assert seen[-1] > seen[0] + 100
 
 
+def slow_scores(rows, states, rounds, n_words, n_endings):
+    """Every score by enumeration of all state paths: training counts, Baum-Welch rounds, and the probabilities."""
+    end = b" "
+    docs = [([*(r[1] or "").encode().lower().split(), end], zlib.crc32(str(r[0]).encode()) % 7 == 2) for r in rows]
+    count = Counter(t for own, out in docs if not out for t in own)
+    top = sorted((w for w in count if w != end), key=lambda w: (-count[w], w))[: n_words - 1]
+    symbol = {w: k for k, w in enumerate(top)} | {end: n_words - 1}
+    of = lambda w: symbol.get(w, n_words + zlib.crc32(w[-3:]) % n_endings)
+    size = n_words + n_endings
+    mass, kinds = Counter(), Counter()
+    for w, c in count.items():
+        mass[of(w)] += c
+        kinds[of(w)] += 1
+    weights = np.array([mass[k] + 1 for k in range(size)]) / sum(mass[k] + 1 for k in range(size))
+    model = Model.first_guess(weights, states)
+
+    def paths(s):
+        for path in itertools.product(range(states), repeat=len(s)):
+            p = model.start[path[0]] * model.emit[s[0], path[0]]
+            for t in range(1, len(s)):
+                p *= model.move[path[t - 1], path[t]] * model.emit[s[t], path[t]]
+            yield path, p
+
+    for _ in range(rounds):
+        starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+        for own, out in docs:
+            if out:
+                continue
+            s = [of(w) for w in own]
+            every = list(paths(s))
+            total = sum(p for _, p in every)
+            for path, p in every:
+                starts[path[0]] += p / total
+                for t, k in enumerate(path):
+                    emissions[s[t], k] += p / total
+                    if t:
+                        moves[path[t - 1], k] += p / total
+        model = model.improved(starts, moves, emissions, weights)
+    out = []
+    for (own, _), r in zip(docs, rows, strict=True):
+        inner = sum(math.log10((count[w] + 1) / (mass[of(w)] + kinds[of(w)] + 1)) for w in own if of(w) >= n_words)
+        out.append((r[0], math.log10(sum(p for _, p in paths([of(w) for w in own]))) + inner))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("split", [400_000, 3])
+def test_scores_by_enumeration(frame, monkeypatch, split):
+    from millrace.llm import hmm
+
+    monkeypatch.setattr(hmm, "SPLIT", split)  # parts of a few words too
+    rng = random.Random(14)
+    vocabulary = prose(rng, 12).split()
+    rows = rows_for([" ".join(rng.choices(vocabulary, k=rng.randint(0, 5))) for _ in range(40)])
+    got = sorted((r["doc_id"], r["score"]) for r in score_texts(frame(rows), states=2, rounds=2, n_words=5, n_endings=4).collect())
+    for have, want in zip(got, slow_scores(rows, 2, 2, 5, 4), strict=True):
+        assert have[0] == want[0] and have[1] == pytest.approx(want[1], abs=1e-9)
+
+
+def test_the_alphabet_grows(frame):
+    rows = rows_for(["one two three", "four five six", "one six", "rare"] * 6)
+    got = sorted((r["doc_id"], r["score"]) for r in score_texts(frame(rows), states=2, rounds=1, n_words=2, n_endings=1, min_count=4).collect())
+    count = Counter(t for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2 for t in r[1].split())
+    own = sum(c >= 4 for c in count.values()) + 1 + (sum(zlib.crc32(str(r[0]).encode()) % 7 != 2 for r in rows) >= 4)
+    for have, want in zip(got, slow_scores(rows, 2, 1, own, 1), strict=True):
+        assert have[0] == want[0] and have[1] == pytest.approx(want[1], abs=1e-9)
+
+
+def test_word_numbers_use_four_bytes():
+    from millrace.llm.hmm import _numbers, _planes
+
+    numbers = np.array([0, 255, 2**24 - 1, 2**24, 2**31])
+    assert _numbers(_planes(numbers)).tolist() == numbers.tolist()
+
+
 def test_scores(frame, odd):
     rng = random.Random(12)
     known = {k: prose(rng, 60, v).split() for k, v in LETTERS.items()}
