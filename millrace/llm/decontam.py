@@ -11,12 +11,12 @@ A document is contaminated by an item if aligned, consistent windows make ``min_
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, text_or_empty
+from .common import free_name, materialise, row_key, text_or_empty
 
 #: Units that may follow a number.
 UNITS = (
@@ -44,19 +44,35 @@ def words(canon: Column) -> Column:
     return F.array_remove(F.split(canon, r"\s+"), "")
 
 
-def template(canon: Column) -> Column:
-    return F.regexp_replace(canon, r"=\S*", "")
+def template(word: Column) -> Column:
+    """A word of a canonical text without its value: the first two characters of a placeholder."""
+    return F.when(word.startswith("§"), F.substring(word, 1, 2)).otherwise(word)
 
 
-def window_hashes(tokens: Column, size: int) -> Column:
-    """The hash of each window of ``size`` words, in order; none in shorter texts."""
+def window_hash(hashes: Column, start: Column, size: int) -> Column:
+    return F.xxhash64(F.slice(hashes, start, size))
 
-    def hashes(own: Column) -> Column:
-        starts = F.when(F.size(own) >= size, F.sequence(F.lit(1), F.size(own) - (size - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda k: F.xxhash64(F.slice(own, k, size)))
 
-    # as a lambda's variable the words are made once for a text; named as they are, they would be made again for each window
-    return F.element_at(F.transform(F.array(tokens), hashes), 1)
+def windows(tokens: Column, kinds: list[tuple[int, bool]]) -> Column:
+    """(size, whole, place, hash) of every window of each kind (size, whole) over the words; places count from 0. Words
+    are made once and hashed once each, with their values for ``whole`` kinds and as templates for the others."""
+
+    def of(hashes: Column, size: int, whole: bool) -> Column:
+        starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(1), F.size(hashes) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.struct(F.lit(size).alias("size"), F.lit(whole).alias("whole"), (k - 1).alias("place"), window_hash(hashes, k, size).alias("hash")))
+
+    def _each(own_kinds: list[tuple[int, bool]]) -> Callable[[Column], Column]:
+        return lambda h: F.flatten(F.array(*[of(h, *k) for k in own_kinds]))
+
+    # as variables of lambdas words and hashes are made once for a text; named as they are, they would be made for each window
+    def both(own: Column) -> Column:
+        plain = F.transform(own, lambda w: F.xxhash64(template(w)))
+        whole = F.transform(own, lambda w: F.xxhash64(w))
+        sides = [(x, [k for k in kinds if k[1] == v]) for x, v in ((plain, False), (whole, True))]
+        made = [F.element_at(F.transform(F.array(x), _each(own_kinds)), 1) for x, own_kinds in sides if own_kinds]
+        return F.concat(*made)
+
+    return F.element_at(F.transform(F.array(tokens), both), 1)
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, min_literal: int) -> DataFrame:
@@ -66,9 +82,10 @@ def benchmark_windows(benchmark: DataFrame, width: int, min_literal: int) -> Dat
     items = items.where(F.size("tokens") > 0).withColumn("size", F.least(F.size("tokens"), F.lit(width)))
     places = items.withColumn("place", F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)))
     rows = places.select("item_id", "size", "place", F.expr("slice(tokens, place, size)").alias("item_words"))
-    plain = F.transform("item_words", lambda w: F.regexp_replace(w, r"=\S*", ""))
+    plain = F.transform("item_words", lambda w: F.xxhash64(template(w)))
+    valued = F.transform("item_words", lambda w: F.xxhash64(w))
     literal = F.size(F.filter("item_words", lambda w: ~w.startswith("§")))
-    rows = rows.where(literal > 0).withColumn("whole", literal < min_literal).withColumn("hash", F.xxhash64(F.when(F.col("whole"), F.col("item_words")).otherwise(plain)))
+    rows = rows.where(literal > 0).withColumn("whole", literal < min_literal).withColumn("hash", F.xxhash64(F.when(F.col("whole"), valued).otherwise(plain)))
     total = rows.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
     return rows.join(total, "item_id")
 
@@ -77,20 +94,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str, width: int = 8
     """(key, doc_id, item_id, item_windows, matched_windows, share, exact) for each row of ``docs`` (doc_id, text,
     ``key``) and each item that contaminates it; ``exact`` if all slots hold the item's own values.
 
-    Null texts and items without literal words match nothing. Items are told apart by item_id; equal ones
+    Windows meet by hash, and count only if their words are then found to be the same. Null texts and items without literal words match nothing. Items are told apart by item_id; equal ones
     each match. Equal rows of ``docs`` are one.
     """
     bench = materialise(benchmark_windows(benchmark, width, min_literal), "benchmark")
     sizes = sorted(tuple(r) for r in bench.select("size", "whole").distinct().collect())  # twice ``width`` at most
     own = docs.select(F.col(key), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    if not sizes:
-        sizes = [(width, False)]
-    canon = canonical(F.col("text"))
-    tokens = {whole: own.select(key, words(canon if whole else template(canon)).alias("tokens")) for whole in (False, True)}
     met_by = ["size", "whole", "hash"]
     hashes = bench.select(*met_by).distinct()
-    parts = [tokens[whole].select(key, F.posexplode(window_hashes(F.col("tokens"), s)).alias("place", "hash")).withColumn("size", F.lit(s)).withColumn("whole", F.lit(whole)) for s, whole in sizes]
-    met = materialise(reduce(DataFrame.union, parts).join(hashes, met_by, "left_semi").distinct(), "met")
+    every = own.select(key, F.explode(windows(words(canonical(F.col("text"))), sizes or [(width, False)])).alias("w"))
+    met = materialise(every.select(key, "w.place", *(f"w.{c}" for c in met_by)).join(hashes, met_by, "left_semi").distinct(), "met")
     # only documents with enough matches are looked at again, for the values in their windows; their keys are stored, so
     # that Spark knows the table's size and deals out the texts only where it is too large to send around
     places = bench.select(*met_by, "item_id", "item_windows", F.col("place").alias("item_place"))
@@ -98,7 +111,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str, width: int = 8
     suspects = materialise(enough.where("enough").select(key).distinct(), "suspects")
     texts = own.join(suspects, key, "left_semi").dropDuplicates([key]).select(key, "doc_id", words(canonical(F.col("text"))).alias("tokens"))
     seen = met.join(texts, key).select(key, "doc_id", *met_by, F.col("place").alias("at"), F.expr("slice(tokens, place + 1, size)").alias("doc_words"))
-    pairs = seen.join(bench, met_by).withColumn("diagonal", F.col("at") + 1 - F.col("place"))
+    same = F.forall(F.arrays_zip("item_words", "doc_words"), lambda x: F.when(F.col("whole"), x["item_words"]).otherwise(template(x["item_words"])) == F.when(F.col("whole"), x["doc_words"]).otherwise(template(x["doc_words"])))
+    pairs = seen.join(bench, met_by).where(same).withColumn("diagonal", F.col("at") + 1 - F.col("place"))
     slot = F.filter(F.arrays_zip("item_words", "doc_words"), lambda x: x["item_words"].startswith("§"))
     group = [key, "doc_id", "item_id", "item_windows", "diagonal"]
     aligned = pairs.select(*group, "place", F.transform(slot, lambda x: F.struct(x["item_words"].alias("i"), x["doc_words"].alias("d"))).alias("slots"))
@@ -110,13 +124,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str, width: int = 8
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """``contaminated`` without the key: a row for each document and item. Empty tables give no rows."""
-    return contaminated(docs.select("doc_id", "text").withColumn("row_key", F.xxhash64(F.col("doc_id"), text_or_empty())), benchmark, "row_key", **options).drop("row_key")
+    """``contaminated`` without the key: a row for each document and item. Empty tables give no rows; other columns,
+    whatever their names, are ignored."""
+    return contaminated(docs.select("doc_id", "text").withColumn("row_key", row_key()), benchmark, "row_key", **options).drop("row_key")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with their columns."""
     key = free_name(docs, "row_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), text_or_empty()))
+    keyed = docs.withColumn(key, row_key())
     bad = contaminated(keyed.select("doc_id", "text", key), benchmark, key, **options).select(key).distinct()
     return keyed.join(materialise(bad, "leaks"), key, "left_anti").select(*docs.columns)

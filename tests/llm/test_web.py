@@ -50,6 +50,65 @@ def test_items_of_numbers_and_merged_values(spark, frame):
     assert got == {(0, 0): True, (2, 1): True, (4, 2): False}
 
 
+def slow_leaks(rows, items, width=8, min_literal=4, min_share=0.3):
+    """Every window of every document against every window of every item, by their words."""
+    import regex
+
+    from millrace.llm.decontam import NAME, NUMBER, UNIT
+
+    def tokens(text):
+        text = (text or "").replace("§", " ").replace("=", " ")
+        text = regex.sub(UNIT, r"\1§U=\2", regex.sub(NUMBER, r"§D=\1", regex.sub(NAME, r"§N=\1", text)))
+        return regex.sub(r"[^\p{L}\p{M}\p{N}§=\s]+", "", text).lower().split()
+
+    plain = lambda w: w[:2] if w.startswith("§") else w
+    out = {}
+    for doc_id, text, *_ in rows:
+        own = tokens(text)
+        for item_id, item in items:
+            words = tokens(item)
+            size = min(width, len(words))
+            kept, diagonals = set(), {}
+            for p in range(len(words) - size + 1 if words else 0):
+                window = words[p : p + size]
+                literal = sum(not w.startswith("§") for w in window)
+                if not literal:
+                    continue
+                kept.add(p)
+                for a in range(len(own) - size + 1):
+                    found = own[a : a + size]
+                    if (found == window) if literal < min_literal else ([*map(plain, found)] == [*map(plain, window)]):
+                        slots = {(i, d) for i, d in zip(window, found, strict=True) if i.startswith("§")}
+                        places, pairs = diagonals.setdefault(a - p, (set(), set()))
+                        places.add(p)
+                        pairs |= slots
+            good = [(places, pairs) for places, pairs in diagonals.values() if len({i for i, _ in pairs}) == len(pairs)]
+            matched = set().union(*(places for places, _ in good))
+            if matched and len(matched) / len(kept) >= min_share:
+                out[doc_id, item_id] = (len(kept), len(matched), all(i == d for _, pairs in good for i, d in pairs))
+    return out
+
+
+def test_leaks_against_every_window(spark, frame, odd):
+    rng = random.Random(21)
+    units = ("km", "kg", "hours", "dollars")
+
+    def question():
+        parts = [rng.choice((prose(rng, 2), str(rng.randint(1, 30)), f"{rng.randint(1, 9)} {rng.choice(units)}", rng.choice(("of Anna", "with Bob", "near Rome")))) for _ in range(rng.randint(2, 14))]
+        return " ".join(parts)
+
+    def changed(text):
+        return " ".join(str(rng.randint(1, 30)) if w.isdigit() and rng.random() < 0.5 else rng.choice(("Eva", "Max")) if w[0].isupper() and rng.random() < 0.5 else w for w in text.split())
+
+    items = [(k, question()) for k in range(25)] + [(25, None), (26, "")]
+    texts = [prose(rng, rng.randint(0, 20)) + " " + changed(rng.choice(items[:25])[1]) + " " + prose(rng, rng.randint(0, 20)) for _ in range(80)]
+    texts += [" ".join(changed(rng.choice(items[:25])[1]).split()[: rng.randint(3, 12)]) for _ in range(40)]
+    rows = [r for r in odd if len(r[1] or "") < 1000] + rows_for(texts, first=100)
+    got = {(r["doc_id"], r["item_id"]): (r["item_windows"], r["matched_windows"], r["exact"]) for r in leaks(frame(rows), bench(spark, [t for _, t in items])).collect()}
+    want = slow_leaks(rows, items)
+    assert got == want and len(want) > 30 and not all(x[2] for x in want.values())
+
+
 def at(day, hour=0):
     return dt.datetime(2024, 1, day, hour)
 
