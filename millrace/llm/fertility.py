@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, text_or_empty
+from .common import free_name, materialise, row_key, text_or_empty
 
 #: Measures with the width of a histogram bin and the least slack of a band on either side.
 MEASURES = {"chars_per_token": (0.005, 0.0), "byte_fallback_share": (0.001, 0.02), "token_entropy": (0.001, 0.0)}
@@ -159,7 +159,7 @@ def measure_texts(texts: list[bytes], m: WordMeter) -> dict[str, np.ndarray]:
 def measures(docs: DataFrame, key: str, byte_level: str, byte_fallback: str, pattern: str) -> DataFrame:
     """doc_id, ``key``, band, the counts and the measures of each row of ``docs``."""
     names = [*COUNTS, *MEASURES]
-    schema = f"doc_id long, `{key}` long, band string, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in MEASURES)
+    schema = f"doc_id long, `{key}` string, band string, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in MEASURES)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def judge(docs: DataFrame, byte_level: str, byte_fallback: str, pattern: str, do
     no rows.
     """
     own = key or "row_key"
-    keyed = docs if key else docs.withColumn("row_key", F.lit(0).cast("long"))
+    keyed = docs if key else docs.withColumn("row_key", F.lit(""))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     tokens = F.greatest(F.col("word_chars") / F.greatest("chars_per_token", F.lit(1e-9)), F.lit(1.0))
     marked = measures(keyed, own, byte_level, byte_fallback, pattern).withColumn("base_failed", failed).withColumn("size_class", F.floor(2 * F.log2(tokens)))
@@ -231,6 +231,6 @@ def judge(docs: DataFrame, byte_level: str, byte_fallback: str, pattern: str, do
 def keep_fluent(docs: DataFrame, byte_level: str, byte_fallback: str, pattern: str, **options: float) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns."""
     key = free_name(docs, "row_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), text_or_empty()))
+    keyed = docs.withColumn(key, row_key())
     kept = judge(keyed, byte_level, byte_fallback, pattern, key=key, **options).where("kept").select(key).distinct()
     return keyed.join(kept, key, "left_semi").select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, text_or_empty
+from .common import drop_table, free_name, materialise, row_key, text_or_empty
 
 NODE = 4096
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -79,20 +79,26 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 def _shared(fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For groups of ``size``: the bits set in all members, and those set in any."""
     at = np.arange(0, len(fps), size)
-    return np.bitwise_and.reduceat(fps, at), np.bitwise_or.reduceat(fps, at)
+    return np.bitwise_and.reduceat(fps, at, axis=0), np.bitwise_or.reduceat(fps, at, axis=0)
 
 
-def _pairs_within(a: np.ndarray, b: np.ndarray, distance: int, sizes: tuple[int, ...] = (512, 64, 8, 1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_within(a: np.ndarray, b: np.ndarray, distance: int, sizes: tuple[int, ...] = (512, 64, 8, 1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of index pairs (i, j) with at most ``distance`` differing bits, found top-down through the groups."""
+    a, b = (x.reshape(len(x), -1) for x in (a, b))  # fingerprints of one word or several
     levels = [(_shared(a, s), _shared(b, s)) for s in sizes]
 
-    def far(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def near(level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Differences in shared bits accumulate word by word; a pair of groups goes once they are too many."""
         (all_a, any_a), (all_b, any_b) = levels[level]
-        return _popcount((all_a[i] & ~any_b[j]) | (all_b[j] & ~any_a[i])) > distance
+        apart = np.zeros(len(i), dtype=np.int64)
+        for w in range(a.shape[1]):
+            apart = apart + _popcount((all_a[i, w] & ~any_b[j, w]) | (all_b[j, w] & ~any_a[i, w]))
+            kept = apart <= distance
+            i, j, apart = i[kept], j[kept], apart[kept]
+        return i, j
 
     def descend(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        keep = ~far(level, i, j)
-        i, j = i[keep], j[keep]
+        i, j = near(level, i, j)
         if level + 1 == len(sizes):
             if len(i):
                 yield i, j
@@ -111,7 +117,7 @@ def _pairs_within(a: np.ndarray, b: np.ndarray, distance: int, sizes: tuple[int,
     yield from descend(0, np.repeat(np.arange(n), m), np.tile(np.arange(m), n))
 
 
-class _Forest:
+class Forest:
     """Union-find over the fingerprints of one comparison; keeps the links that joined two trees."""
 
     def __init__(self, n: int):
@@ -140,8 +146,8 @@ def forest_links(a: np.ndarray, b: np.ndarray | None, distance: int) -> tuple[np
     """Links that connect whatever pairs within ``a`` (b None) or between ``a`` and ``b`` connect."""
     both = a if b is None else np.concatenate((a, b))
     shift = 0 if b is None else len(a)
-    forest = _Forest(len(both))
-    for i, j in _pairs_within(a, a if b is None else b, distance):
+    forest = Forest(len(both))
+    for i, j in pairs_within(a, a if b is None else b, distance):
         if b is None:
             upper = i < j
             i, j = i[upper], j[upper]
@@ -274,10 +280,8 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
 
     Of rows with equal id and text one stays. Rows without a doc_id stay where their component has no other row.
     """
-    from .common import free_name
-
     key, mine = free_name(docs, "row_key"), docs.columns
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), text_or_empty()))
+    keyed = docs.withColumn(key, row_key())
     slim = materialise(fingerprints(keyed.select("doc_id", text_or_empty().alias("text"), key), width).select("doc_id", key, "fp"), "rows")
     distinct = materialise(slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("best")), "fps")
     stars = materialise(components(links(distinct, distance)), "stars")
