@@ -11,8 +11,6 @@ A document is contaminated by an item if aligned, consistent windows make ``min_
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,30 +47,29 @@ def template(word: Column) -> Column:
     return F.when(word.startswith("§"), F.substring(word, 1, 2)).otherwise(word)
 
 
-def window_hash(hashes: Column, start: Column, size: int) -> Column:
-    return F.xxhash64(F.slice(hashes, start, size))
+def templates(canon: Column) -> Column:
+    """``template`` of all words of a canonical text."""
+    return F.regexp_replace(canon, r"=\S*", "")
 
 
-def windows(tokens: Column, kinds: list[tuple[int, bool]]) -> Column:
-    """(size, whole, place, hash) of every window of each kind (size, whole) over the words; places count from 0. Words
-    are made once and hashed once each, with their values for ``whole`` kinds and as templates for the others."""
+def window_hashes(tokens: Column, size: int) -> Column:
+    """The hash of each window of ``size`` words, in order; none in shorter texts."""
 
-    def of(hashes: Column, size: int, whole: bool) -> Column:
-        starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(1), F.size(hashes) - (size - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda k: F.struct(F.lit(size).alias("size"), F.lit(whole).alias("whole"), (k - 1).alias("place"), window_hash(hashes, k, size).alias("hash")))
+    def hashes(own: Column) -> Column:
+        starts = F.when(F.size(own) >= size, F.sequence(F.lit(1), F.size(own) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.xxhash64(F.slice(own, k, size)))
 
-    def _each(own_kinds: list[tuple[int, bool]]) -> Callable[[Column], Column]:
-        return lambda h: F.flatten(F.array(*[of(h, *k) for k in own_kinds]))
+    # as a lambda's variable the words are made once for a text; named as they are, they would be made again for each window
+    return F.element_at(F.transform(F.array(tokens), hashes), 1)
 
-    # as variables of lambdas words and hashes are made once for a text; named as they are, they would be made for each window
-    def both(own: Column) -> Column:
-        plain = F.transform(own, lambda w: F.xxhash64(template(w)))
-        whole = F.transform(own, lambda w: F.xxhash64(w))
-        sides = [(x, [k for k in kinds if k[1] == v]) for x, v in ((plain, False), (whole, True))]
-        made = [F.element_at(F.transform(F.array(x), _each(own_kinds)), 1) for x, own_kinds in sides if own_kinds]
-        return F.concat(*made)
 
-    return F.element_at(F.transform(F.array(tokens), both), 1)
+def windows(rows: DataFrame, key: str, kinds: list[tuple[int, bool]]) -> DataFrame:
+    """(key, size, whole, place, hash) of every window of each kind (size, whole) in the texts of ``rows``: templates of
+    words, or with their values for ``whole`` kinds; places count from 0. A text is canonicalised once for all kinds."""
+    canon = rows.select(key, canonical(F.col("text")).alias("canon"))
+    tokens = canon.select(key, words(F.col("canon")).alias("valued"), words(templates(F.col("canon"))).alias("plain"))
+    made = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(w).alias("whole"), window_hashes(F.col("valued" if w else "plain"), s).alias("hashes")) for s, w in kinds])
+    return tokens.select(key, F.explode(made).alias("k")).select(key, "k.size", "k.whole", F.posexplode("k.hashes").alias("place", "hash"))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, min_literal: int) -> DataFrame:
@@ -82,10 +79,9 @@ def benchmark_windows(benchmark: DataFrame, width: int, min_literal: int) -> Dat
     items = items.where(F.size("tokens") > 0).withColumn("size", F.least(F.size("tokens"), F.lit(width)))
     places = items.withColumn("place", F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)))
     rows = places.select("item_id", "size", "place", F.expr("slice(tokens, place, size)").alias("item_words"))
-    plain = F.transform("item_words", lambda w: F.xxhash64(template(w)))
-    valued = F.transform("item_words", lambda w: F.xxhash64(w))
+    plain = F.transform("item_words", template)
     literal = F.size(F.filter("item_words", lambda w: ~w.startswith("§")))
-    rows = rows.where(literal > 0).withColumn("whole", literal < min_literal).withColumn("hash", F.xxhash64(F.when(F.col("whole"), valued).otherwise(plain)))
+    rows = rows.where(literal > 0).withColumn("whole", literal < min_literal).withColumn("hash", F.xxhash64(F.when(F.col("whole"), F.col("item_words")).otherwise(plain)))
     total = rows.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
     return rows.join(total, "item_id")
 
@@ -102,8 +98,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str, width: int = 8
     own = docs.select(F.col(key), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     met_by = ["size", "whole", "hash"]
     hashes = bench.select(*met_by).distinct()
-    every = own.select(key, F.explode(windows(words(canonical(F.col("text"))), sizes or [(width, False)])).alias("w"))
-    met = materialise(every.select(key, "w.place", *(f"w.{c}" for c in met_by)).join(hashes, met_by, "left_semi").distinct(), "met")
+    every = windows(own.select(key, "text"), key, sizes or [(width, False)])
+    met = materialise(every.select(key, "place", *met_by).join(hashes, met_by, "left_semi").distinct(), "met")
     # only documents with enough matches are looked at again, for the values in their windows; their keys are stored, so
     # that Spark knows the table's size and deals out the texts only where it is too large to send around
     places = bench.select(*met_by, "item_id", "item_windows", F.col("place").alias("item_place"))

@@ -152,8 +152,8 @@ def cut_pieces(docs: DataFrame, encode: Callable, end_id: int, capacity: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 ids, bounds = encode(part.column(1).to_pylist())
                 out = []
                 for doc_id, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

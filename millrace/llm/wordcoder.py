@@ -32,7 +32,7 @@ def byte_alphabet() -> dict[int, str]:
 class WordCoder:
     """Encodes batches of texts; keeps at most ``limit`` distinct words (about 200 bytes each) between batches."""
 
-    def __init__(self, path: str, limit: int = 1_300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -137,7 +137,7 @@ class WordCoder:
 _CODERS: dict[tuple, WordCoder] = {}
 
 
-def coder(path: str, limit: int = 1_300_000) -> WordCoder:
+def coder(path: str, limit: int = 1_000_000) -> WordCoder:
     """One coder for each worker process and vocabulary file."""
     if (path, limit) not in _CODERS:
         _CODERS[path, limit] = WordCoder(path, limit)
