@@ -79,7 +79,7 @@ class Engine:
     def search(self, p: dict) -> DataFrame:
         """Candidates of a plan: filtered dense and sparse lists, fused, with the metadata bonus; the first looser
         variant of the filters that has any. Questions on several companies search each and all, best score wins."""
-        ids = self.chunks.select(F.monotonically_increasing_id().alias("id"), "*") if "id" not in self.chunks.columns else self.chunks
+        ids = self.chunks.select(F.xxhash64("chunk_id").alias("id"), "*") if "id" not in self.chunks.columns else self.chunks
         present = tuple(f for f in self.fields if f in ids.columns)
         for filters in rt.relaxed_variants(p["filters"]):
             rows = ids.where(rt.whitelisted(filters, present))
@@ -93,7 +93,7 @@ class Engine:
     def _pass(self, rows: DataFrame, p: dict, k: int) -> DataFrame:
         ask = self.spark.createDataFrame([(-1, p["query"], [float(x) for x in self.embed(p["query"])])], "id long, text string, embedding array<double>")
         dense = rt.dense_topk(ask, rows, k)
-        sparse = rt.sparse_topk(rt.postings(ask), rt.postings(rows), k)
+        sparse = rt.sparse_topk(ask, rows, k)
         fused = rt.fuse([(dense, rt.DENSE_WEIGHT), (sparse, rt.SPARSE_WEIGHT)])
         scored = fused.join(rows, "id").withColumn("score", F.col("score") + rt.pre_bonus(p["flags"], p))
         return scored.select("query_id", "id", "score")

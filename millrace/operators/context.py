@@ -2,63 +2,60 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def choose(candidates: list[dict], max_chunks: int = 8, per_doc: int = 6, per_page: int = 3, diverse: bool = False, multi_year: bool = False) -> list[int]:
-    """Places of the candidates to keep, best first. Greedy under caps on documents, pages, repeated row labels,
-    company-years and evidence types; if under four (or ``max_chunks``) come through, the rest fills up in order."""
-    max_chunks = max(max_chunks, 10 if diverse else 0, 8 if multi_year else 0)
-    text = lambda c: (c.get("chunk_type") or "", c.get("citation_key") or "", " ".join((c.get("text") or "").lower().split()))
-    taken: list[int] = []
-    texts: set = set()
-    count: Counter = Counter()
-    for place, c in enumerate(candidates):
-        kind, doc = c.get("chunk_type") or "", c.get("doc_id")
-        label = (c.get("row_label") or "") if kind == "row" else ""
-        limits = [(("doc", doc), per_doc), (("kind", kind), max(2, max_chunks // 2) if len(taken) < max_chunks - 2 else None)]
-        if c.get("page") is not None:
-            limits.append((("page", doc, c["page"]), per_page))
-        if label:
-            limits.append((("label", doc, label), 1))
-        limits.append((("year", c.get("ticker"), c.get("fiscal_year")), 2 if diverse else None))
-        if text(c) in texts or any(most is not None and count[key] >= most for key, most in limits):
-            continue
-        texts.add(text(c))
-        count.update(key for key, _ in limits)
-        taken.append(place)
-        if len(taken) >= max_chunks:
-            break
-    if len(taken) < min(max_chunks, 4):
-        for place, c in enumerate(candidates):
-            if len(taken) >= max_chunks:
-                break
-            if text(c) not in texts:
-                texts.add(text(c))
-                taken.append(place)
-    return taken
 
 
-CANDIDATE = ("query_id", "rank", "doc_id", "chunk_type", "citation_key", "text", "page", "ticker", "fiscal_year", "row_label")
+def chosen(candidates: Column, max_chunks: int = 8, per_doc: int = 6, per_page: int = 3, diverse: bool = False, multi_year: bool = False) -> Column:
+    """Of an array of candidates, best first, those to keep, as an array in order of choice: a greedy fold under caps on
+    documents, pages, repeated row labels, company-years and evidence types. Equal texts (of one type and citation)
+    come once. If under four (or ``max_chunks``) come through, a second fold without caps fills up."""
+    most = max(max_chunks, 10 if diverse else 0, 8 if multi_year else 0)
+    some = lambda x, f: F.coalesce(x[f].cast("string"), F.lit(""))
+    count = lambda held, test: F.size(F.filter(held, lambda h: F.coalesce(test(h), F.lit(False))))
+    both = lambda f, c: lambda h: h[f].eqNullSafe(c[f])
+    keyed = F.transform(candidates, lambda c: F.struct(c.alias("row"), F.concat_ws("\u0001", some(c, "chunk_type"), some(c, "citation_key"), F.trim(F.regexp_replace(F.lower(some(c, "text")), r"\s+", " "))).alias("said")))
+
+    def allowed(held: Column, c: Column) -> Column:
+        doc = lambda h: h["row"]["doc_id"].eqNullSafe(c["doc_id"])
+        label = lambda x: F.when(some(x, "chunk_type") == "row", some(x, "row_label")).otherwise("")
+        rules = [
+            count(held, doc) < per_doc,
+            (F.size(held) >= most - 2) | (count(held, lambda h: some(h["row"], "chunk_type") == some(c, "chunk_type")) < max(2, most // 2)),
+            c["page"].isNull() | (count(held, lambda h: doc(h) & (h["row"]["page"] == c["page"])) < per_page),
+            (label(c) == "") | (count(held, lambda h: doc(h) & (label(h["row"]) == label(c))) < 1),
+        ]
+        if diverse:
+            rules.append(count(held, lambda h: both("ticker", c)(h["row"]) & both("fiscal_year", c)(h["row"])) < 2)
+        return reduce(Column.__and__, rules)
+
+    def grow(capped: bool) -> Callable[[Column, Column], Column]:
+        def step(held: Column, c: Column) -> Column:
+            fits = (F.size(held) < most) & ~F.exists(held, lambda h: h["said"] == c["said"])
+            return F.when(fits & allowed(held, c["row"]) if capped else fits, F.concat(held, F.array(c))).otherwise(held)
+
+        return step
+
+    none = F.filter(keyed, lambda c: F.lit(False))
+    first = F.aggregate(keyed, none, grow(capped=True))
+    filled = F.element_at(F.transform(F.array(first), lambda held: F.when(F.size(held) < min(most, 4), F.aggregate(keyed, held, grow(capped=False))).otherwise(held)), 1)
+    return F.transform(filled, lambda c: c["row"])
 
 
 def assemble(candidates: DataFrame, max_chunks: int = 8, per_doc: int = 6, per_page: int = 3, diverse: bool = False, multi_year: bool = False) -> DataFrame:
-    """``choose`` for each query_id of ``candidates`` (reranked lists of some dozens each), with ``place``."""
-    schema = T.StructType([*candidates.schema.fields, T.StructField("place", T.IntegerType())])
+    """``chosen`` for each query_id of ``candidates`` (reranked lists of some dozens each), with ``place``."""
+    present = [c for c in candidates.columns if c != "query_id"]
+    missing = [F.lit(None).cast("string").alias(c) for c in CANDIDATE if c not in candidates.columns]
+    rows = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("by_rank"), F.struct(*present, *missing).alias("own"))), lambda a, b: F.when(a["by_rank"] < b["by_rank"], -1).when(a["by_rank"] > b["by_rank"], 1).otherwise(0))
+    lists = candidates.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.transform("rows", lambda r: r["own"]).alias("rows"))
+    kept = lists.select("query_id", F.posexplode(chosen(F.col("rows"), max_chunks, per_doc, per_page, diverse, multi_year)).alias("place", "row"))
+    return kept.select(*[F.col("query_id") if c == "query_id" else F.col(f"row.{c}").alias(c) for c in candidates.columns], F.col("place").cast("int").alias("place"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank", kind="stable").reset_index(drop=True)
-        rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
-        out = frame.iloc[choose(rows, max_chunks, per_doc, per_page, diverse, multi_year)].copy()
-        out["place"] = range(len(out))
-        return out
 
-    return candidates.groupBy("query_id").applyInPandas(run, schema)
+CANDIDATE = ("query_id", "rank", "doc_id", "chunk_type", "citation_key", "text", "page", "ticker", "fiscal_year", "row_label")
 
 
 def with_parents(context: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,10 +89,14 @@ def plan_queries(queries: DataFrame, corpus: DataFrame | None = None) -> DataFra
         rows = rows.withColumn("available", F.array().cast("array<int>"))
     else:
         scopes = corpus.where("fiscal_year is not null").select("ticker", F.col("sector").alias("in_sector"), F.col("fiscal_year").cast("int").alias("y")).distinct()
-        fits = (F.size("tickers") == 0) | F.array_contains("tickers", F.col("ticker"))
-        fits = fits & (F.col("sector").isNull() | (F.col("sector") == F.col("in_sector")))
-        met = rows.join(scopes, fits, "left").groupBy("query_id").agg(F.reverse(F.array_sort(F.collect_set("y"))).alias("available"))
-        rows = rows.join(met, "query_id")
+        # a query meets the scopes of its companies, else of its sector, by equality; without either all years count
+        named = rows.select("query_id", "sector", F.explode("tickers").alias("ticker")).join(scopes, "ticker").where("sector is null or sector = in_sector").select("query_id", "y")
+        by_sector = scopes.select(F.col("in_sector").alias("sector"), "y").distinct()
+        others = rows.where((F.size("tickers") == 0) & F.col("sector").isNotNull()).select("query_id", "sector").join(by_sector, "sector").select("query_id", "y")
+        found = named.union(others).groupBy("query_id").agg(F.collect_set("y").alias("ys"))
+        every = scopes.agg(F.collect_set("y").alias("all_years"))  # one row
+        own = F.when((F.size("tickers") == 0) & F.col("sector").isNull(), F.col("all_years")).otherwise(F.coalesce("ys", F.array().cast("array<int>")))
+        rows = rows.join(found, "query_id", "left").crossJoin(F.broadcast(every)).withColumn("available", F.reverse(F.array_sort(own))).drop("ys", "all_years")
     n = F.size("tickers")
     broad = (n == 0) | (n > 2) | F.lower(q).rlike("across|sector|industry")
     intent = (
@@ -129,25 +134,29 @@ def latest_years(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("ticker").agg(F.max("fiscal_year").alias("latest_year"))
 
 
-def alias_matches(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+def alias_matches(queries: DataFrame, aliases: DataFrame, lead: int = 4) -> DataFrame:
     """(query_id, code): codes of all aliases (alias, code) that stand in a query as whole words. Queries are met by
-    their runs of as many words as aliases have, so the join is on equal strings; no query meets every alias."""
-    words = lambda c: F.array_remove(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), "")
-    keyed = aliases.select("code", F.array_join(words(F.col("alias")), " ").alias("key"), F.size(words(F.col("alias"))).alias("n")).where("n > 0")
-    sizes = [r["n"] for r in keyed.select("n").distinct().collect()]  # as many as there are alias lengths
+    their runs of ``lead`` words (fewer for shorter aliases), so the join is on equal strings and no query meets every
+    alias; whole aliases are then looked for in the queries that hold their beginning."""
+    words = lambda c: F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " "), "")
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    keyed = aliases.select("code", words(F.col("alias")).alias("a")).where(F.size("a") > 0)
+    keyed = keyed.select("code", F.array_join(F.slice("a", 1, lead), " ").alias("key"), spaced(F.col("a")).alias("whole"))
     own = queries.select("query_id", words(F.col("query")).alias("w"))
+    sizes = [r["n"] for r in aliases.select(F.least(F.size(words(F.col("alias"))), F.lit(lead)).alias("n")).where("n > 0").distinct().collect()]  # ``lead`` at most
 
-    def of_length(n: int) -> DataFrame:
-        def joined(w: Column) -> Column:
-            starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+    def runs(w: Column) -> Column:
+        each = [F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")), _joined(w, n)) for n in sorted(sizes)]
+        return F.array_distinct(F.flatten(F.array(*each))) if each else F.array().cast("array<string>")
 
-        # a lambda's variable is made once for a query; the column itself would be made again for each run
-        return own.select("query_id", F.explode(F.element_at(F.transform(F.array("w"), joined), 1)).alias("key"))
+    # a lambda's variable is made once for a query; the column itself would be made again for each run
+    keys = own.select("query_id", F.explode(F.element_at(F.transform(F.array("w"), runs), 1)).alias("key"))
+    met = keys.join(keyed, "key").select("query_id", "code", "whole")
+    return met.join(own.select("query_id", spaced(F.col("w")).alias("text")), "query_id").where(F.contains("text", F.col("whole"))).select("query_id", "code").distinct()
 
-    runs = [of_length(n) for n in sizes]
-    found = reduce(DataFrame.union, runs).join(keyed, "key") if runs else own.join(keyed, F.lit(False)).withColumn("key", F.lit(""))
-    return found.select("query_id", "code").distinct()
+
+def _joined(w: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: F.array_join(F.slice(w, i, n), " ")
 
 
 def first_per_query(rows: DataFrame, order: list[Column]) -> DataFrame:

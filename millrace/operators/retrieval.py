@@ -1,11 +1,13 @@
 """Hybrid search: dense and sparse top-k, weighted reciprocal rank fusion, metadata rescoring, filter relaxation.
 
 Searches run for many queries at once. Vectors are packed into blocks of a few thousand and multiplied block by block,
-so neither side has to fit anywhere whole and no pair of rows is ever a row; sparse search is an inverted-index join.
+so neither side has to fit anywhere whole and no pair of rows is ever a row; postings of tokens likewise.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -50,37 +52,98 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id"
                 scores = np.frombuffer(q_raw, "<f8").reshape(len(q_ids), -1) @ np.frombuffer(c_raw, "<f8").reshape(len(c_ids), -1).T
                 scores = np.round(scores, 9)
                 scores[q_ids[:, None] == c_ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(c_ids, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, axis=1)
-                ok = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], order.shape)[ok]), pa.array(c_ids[order][ok]), pa.array(best[ok])], ["query_id", "id", "score"])
+                yield _best(q_ids, c_ids, scores, k)
 
     q = _blocks(queries, id_col, vector, group).select(F.col("grp"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    pairs = q.join(_blocks(corpus, id_col, vector, group), "grp")  # of blocks, not of rows
+    pairs = _meet(q, _blocks(corpus, id_col, vector, group))  # of blocks, not of rows
     near = pairs.select("q_ids", "q_matrix", "ids", "matrix").mapInArrow(run, "query_id long, id long, score double")
     return ranked(near, k)
 
 
+def _meet(queries: DataFrame, corpus: DataFrame, salts: int = 32) -> DataFrame:
+    """Every block of ``queries`` with every block of ``corpus`` of the same ``grp``. Where Spark finds neither side
+    small enough to send around, corpus blocks of one group are spread over ``salts`` keys."""
+    spread = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(corpus.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")), ["grp", "salt"])
+
+
+def _best(q_ids: np.ndarray, c_ids: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` best of each row of ``scores`` that are finite, with all that tie with the last of them."""
+    n = scores.shape[1]
+    least = np.partition(scores, n - k, axis=1)[:, n - k, None] if k < n else np.full((len(q_ids), 1), -np.inf)
+    row, column = np.nonzero((scores >= least) & np.isfinite(scores))
+    order = np.lexsort((c_ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)  # ties beyond k go by id
+    row, column = row[place < k], column[place < k]
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(c_ids[column]), pa.array(scores[row, column])], ["query_id", "id", "score"])
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The ``k`` best (query_id, id, score) of each query with their rank from 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(id, token, weight): distinct tokens (runs of a-z, lower-cased) with weight 1 + ln(count)."""
-    tokens = docs.select(F.col(id_col).cast("long").alias("id"), F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")).alias("token")).where("token <> ''")
-    return tokens.groupBy("id", "token").agg((1 + F.log(F.count("*").cast("double"))).alias("weight"))
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many partitions as there are cores, if a few large files gave fewer."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+TOKEN = re.compile(r"[a-z]+")
+TOKEN_BLOCK = 512
+
 
+def _token_blocks(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Rows packed by ``TOKEN_BLOCK``: (grp, ids, vocabulary, starts, tokens, weights), the postings of the block row by
+    row: distinct tokens (runs of a-z, lower-cased) as places in the vocabulary, with weight 1 + ln(count)."""
 
-def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, max_share: float = 0.2) -> DataFrame:
-    """(query_id, id, score, rank) by dot product of token weights of two ``postings``; tokens that over
-    ``max_share`` of the corpus hold count as stop words and have no weight."""
-    n = corpus.select("id").distinct().count()
-    usable = corpus.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= max_share * n).select("token")
-    q = queries.join(usable, "token").select(F.col("id").alias("query_id"), "token", F.col("weight").alias("q_weight"))
-    dots = q.join(corpus, "token").where("query_id <> id").groupBy("query_id", "id").agg(F.round(F.sum(F.col("q_weight") * F.col("weight")), 6).alias("score"))
-    return ranked(dots, k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOKEN_BLOCK):
+                part = batch.slice(at, TOKEN_BLOCK)
+                place: dict[str, int] = {}
+                starts, tokens, counts = [0], [], []
+                for t in part.column(1).to_pylist():
+                    own = Counter(TOKEN.findall(t.lower()))
+                    tokens += [place.setdefault(w, len(place)) for w in own]
+                    counts += own.values()
+                    starts.append(len(tokens))
+                raw = [np.array(starts, "<i8"), np.array(tokens, "<i4"), 1 + np.log(np.array(counts, "<f8"))]
+                yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([list(place)], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["grp", "ids", "vocabulary", "starts", "tokens", "weights"])
+
+    slim = _spread(rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")))
+    return slim.mapInArrow(run, "grp string, ids array<long>, vocabulary array<string>, starts binary, tokens binary, weights binary")
+
+
+def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", text: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): for each query the ``k`` rows of ``corpus`` (id, text), itself excepted, with the
+    highest dot product of token weights; rows without a common token score nothing. Exact over all tokens, however
+    frequent: a block of queries is a matrix, and the postings of a block of rows add up its rows, so a token that
+    every row has costs as much as any other and is never a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_words, q_starts, q_tokens, q_weights, ids, words, starts, tokens, weights in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                q_ids, ids = np.array(q_ids), np.array(ids)
+                matrix = np.zeros((len(q_words) + 1, len(q_ids)))  # the last row is for tokens that no query has
+                matrix[np.frombuffer(q_tokens, "<i4"), np.repeat(np.arange(len(q_ids)), np.diff(np.frombuffer(q_starts, "<i8")))] = np.frombuffer(q_weights, "<f8")
+                place = {w: i for i, w in enumerate(q_words)}
+                known = np.array([place.get(w, len(q_words)) for w in words], dtype=np.int64)
+                starts, tokens, weights = np.frombuffer(starts, "<i8"), known[np.frombuffer(tokens, "<i4")] if len(known) else np.zeros(0, np.int64), np.frombuffer(weights, "<f8")
+                scores = np.zeros((len(q_ids), len(ids)))
+                for r, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                    scores[:, r] = weights[a:b] @ matrix[tokens[a:b]]
+                scores = np.round(scores, 6)
+                scores[(scores <= 0) | (q_ids[:, None] == ids[None, :])] = -np.inf
+                yield _best(q_ids, ids, scores, k)
+
+    names = ["ids", "vocabulary", "starts", "tokens", "weights"]
+    q = _token_blocks(queries, id_col, text).select("grp", *(F.col(n).alias(f"q_{n}") for n in names))
+    pairs = _meet(q, _token_blocks(corpus, id_col, text))
+    near = pairs.select(*(f"q_{n}" for n in names), *names).mapInArrow(run, "query_id long, id long, score double")
+    return ranked(near, k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:

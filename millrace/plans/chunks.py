@@ -133,11 +133,11 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks_of(read(spark, sf_dir, "pages")).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("""WITH a AS (SELECT item_id AS code, trim(regexp_replace(lower(array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:4], ' ')), '[^a-z0-9]+', ' ', 'g')) AS key FROM benchmark),
+@query("""WITH a AS (SELECT item_id AS code, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key FROM benchmark),
   d AS (SELECT doc_id AS query_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents) SELECT query_id, code FROM d JOIN a ON contains(t, ' ' || key || ' ') WHERE key <> ''""")
 def alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases (the first words of benchmark texts) that stand in documents, by joins on runs of words."""
-    aliases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("code"), F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 4), " ").alias("alias"))
+    """Aliases (whole benchmark texts) that stand in documents, by joins on runs of words."""
+    aliases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("code"), F.col("text").alias("alias"))
     return alias_matches(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), aliases)
 
 

@@ -46,14 +46,13 @@ def multi_hop_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POSTINGS_SQL = """p AS (SELECT id, token, 1 + ln(count(*)) AS w FROM (SELECT doc_id AS id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z]+')) AS token FROM {docs}) WHERE token <> '' GROUP BY id, token),
-  u AS (SELECT token FROM p GROUP BY token HAVING count(*) <= 0.2 * (SELECT count(DISTINCT id) FROM p)),
-  s AS (SELECT q.id AS query_id, c.id, round(sum(q.w * c.w), 6) AS s FROM p q JOIN u USING (token) JOIN p c USING (token) WHERE q.id % 100 = 0 AND q.id <> c.id GROUP BY ALL)"""
+  s AS (SELECT q.id AS query_id, c.id, round(sum(q.w * c.w), 6) AS s FROM p q JOIN p c USING (token) WHERE q.id % 100 = 0 AND q.id <> c.id GROUP BY ALL)"""
 
 
 @query("WITH " + POSTINGS_SQL.format(docs="documents") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, round(s, 4) AS score, rank FROM r WHERE rank <= 10")
 def sparse_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
-    return rt.sparse_topk(rt.postings(_ask(docs, "id")), rt.postings(docs), 10).withColumn("score", F.round("score", 4))
+    return rt.sparse_topk(_ask(docs, "id"), docs, 10).withColumn("score", F.round("score", 4))
 
 
 @query("WITH h AS (SELECT doc_id, text FROM documents JOIN embeddings ON doc_id = vec_id), " + POSTINGS_SQL.format(docs="h") + """,
@@ -68,7 +67,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The core query: dense and sparse lists of 36, fused by weighted reciprocal ranks, the best ten."""
     corpus = hybrid_corpus(spark, sf_dir)
     asked = _ask(corpus, "id")
-    dense, sparse = rt.dense_topk(asked, corpus, 36), rt.sparse_topk(rt.postings(asked), rt.postings(corpus), 36)
+    dense, sparse = rt.dense_topk(asked, corpus, 36), rt.sparse_topk(asked, corpus, 36)
     fused = rt.fused_rank(rt.fuse([(dense, rt.DENSE_WEIGHT), (sparse, rt.SPARSE_WEIGHT)]), 10)
     return fused.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -135,10 +134,11 @@ def filter_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT d.doc_id, i.item_id, list_distinct(list_filter(string_split_regex(lower(i.text), '[^a-z0-9]+'), lambda x: x <> '')) AS q, list_distinct(list_filter(string_split_regex(lower(d.text), '[^a-z0-9]+'), lambda x: x <> '')) AS t
-  FROM documents d JOIN benchmark i ON d.doc_id % 40 = i.item_id) SELECT doc_id, item_id, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM c""")
+  FROM documents d JOIN benchmark i ON d.doc_id % (SELECT count(*) FROM benchmark) = i.item_id) SELECT doc_id, item_id, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM c""")
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default reranker on pairs of documents and benchmark texts."""
-    pairs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ask")), F.col("doc_id") % 40 == F.col("item_id"))
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ask"))
+    pairs = read(spark, sf_dir, "documents").join(items, F.col("doc_id") % max(1, items.count()) == F.col("item_id"))
     return pairs.select("doc_id", "item_id", F.round(rt.token_overlap(F.col("ask"), F.col("text")), 6).alias("score"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -18,6 +20,7 @@ from millrace.operators import context as ctx
 from millrace.operators import metrics as me
 from millrace.operators import planner as pl
 from millrace.operators import retrieval as rt
+from millrace.plans import registry
 from millrace.operators import tables as tb
 
 
@@ -129,10 +132,72 @@ def test_row_groups():
     assert [len(g) for g in groups] == [30, 30, 10]
 
 
-def test_context_caps():
+FIELDS = ("doc_id", "chunk_type", "citation_key", "text", "page", "ticker", "fiscal_year", "row_label")
+SCHEMA = "query_id long, rank long, doc_id string, chunk_type string, citation_key string, text string, page int, ticker string, fiscal_year int, row_label string"
+
+
+def kept_places(spark, lists, *caps, **options):
+    rows = [(q, k, *(c.get(f) for f in FIELDS)) for q, own in enumerate(lists) for k, c in enumerate(own)]
+    found = ctx.assemble(spark.createDataFrame(rows, SCHEMA), *caps, **options).collect()
+    return [[r["rank"] for r in sorted(found, key=lambda r: r["place"]) if r["query_id"] == q] for q in range(len(lists))]
+
+
+def test_context_caps(spark):
     rows = [{"doc_id": "d", "chunk_type": "row", "citation_key": "", "text": f"t{i}", "page": i, "ticker": "A", "fiscal_year": 2024, "row_label": f"l{i}"} for i in range(9)]
-    assert ctx.choose(rows, 8) == [0, 1, 2, 3]
-    assert ctx.choose([rows[0], rows[0]], 8) == [0]
+    assert kept_places(spark, [rows, [rows[0], rows[0]]], 8) == [[0, 1, 2, 3], [0]]
+
+
+def test_context_caps_against_plain_loops(spark):
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    lists = [[{"doc_id": pick("d", "e", None), "chunk_type": pick("row", "prose", None), "citation_key": pick("p.1", None), "text": pick("a  B", "A b ", "c", "d", "e", "f", None), "page": pick(1, 2, None), "ticker": pick("A", "B"), "fiscal_year": pick(2023, None), "row_label": pick("x", "y", "", None)} for _ in range(rng.randint(1, 14))] for _ in range(60)]
+
+    def plain(own, most, per_doc, per_page, diverse):
+        said = lambda c: (c["chunk_type"] or "", c["citation_key"] or "", " ".join((c["text"] or "").lower().split()))
+        label = lambda c: (c["row_label"] or "") if c["chunk_type"] == "row" else ""
+        kept = []
+        for capped in (True, False):
+            if not capped and len(kept) >= min(most, 4):
+                break
+            for k, c in enumerate(own):
+                held = [own[i] for i in kept]
+                if len(kept) >= most or said(c) in map(said, held):
+                    continue
+                same = lambda *f, held=held, c=c: sum(all(h[x] == c[x] for x in f) for h in held)
+                if capped and (same("doc_id") >= per_doc or (c["page"] is not None and same("doc_id", "page") >= per_page)):
+                    continue
+                if capped and label(c) and any(h["doc_id"] == c["doc_id"] and label(h) == label(c) for h in held):
+                    continue
+                if capped and len(kept) < most - 2 and sum((h["chunk_type"] or "") == (c["chunk_type"] or "") for h in held) >= max(2, most // 2):
+                    continue
+                if capped and diverse and same("ticker", "fiscal_year") >= 2:
+                    continue
+                kept.append(k)
+        return kept
+
+    assert kept_places(spark, lists, 6, 3, 2) == [plain(own, 6, 3, 2, False) for own in lists]
+    assert kept_places(spark, lists, 8, diverse=True) == [plain(own, 10, 6, 3, True) for own in lists]
+
+
+def test_sparse_search_uses_every_word(spark):
+    rng = random.Random(6)
+    words = ["the", "of", "cash", "debt", "tax", "loss"]
+    texts = [" ".join(["The"] * rng.randint(0, 3) + rng.choices(words, k=rng.randint(0, 6))) for _ in range(700)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    weights = [{w: 1 + math.log(n) for w, n in Counter((t or "").lower().split()).items()} for t in texts]
+    want = []
+    for q in range(0, len(texts), 100):
+        dots = [(-round(sum(w * weights[i].get(t, 0) for t, w in weights[q].items()), 6), i) for i in range(len(texts)) if i != q]
+        want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(x for x in dots if x[0] < 0)[:7])]
+    got = rt.sparse_topk(docs.where("id % 100 = 0"), docs, 7).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"], r["rank"]) for r in got] == [(q, i, r) for q, i, _, r in want]
+    assert [r["score"] for r in got] == pytest.approx([s for _, _, s, _ in want], abs=1e-6)
+
+
+def test_approximate_search_finds_most(spark):
+    got = registry.queries()["knn_lsh"](spark, "/root/testdata/sf0.01")
+    shares = [r["recall"] for r in got.collect()] if "recall" in got.columns else []
+    assert shares and min(shares) >= 0.8 and sum(shares) / len(shares) >= 0.9
 
 
 def test_pages(spark):
