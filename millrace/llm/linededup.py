@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, row_key, text_or_empty
+from .common import drop_table, free_name, materialise, row_key, text_or_empty
 
 _SPACE = " \t\n\r\x0b\x0c"
 #: A line near a selected one: its 128-bit hash, its number in the text, and its words.
@@ -118,6 +118,7 @@ def copied_runs(docs: DataFrame, key: str, min_words: int) -> DataFrame:
     found = materialise(positions(docs, key, min_words), "positions")
     shared = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     met = materialise(found.join(shared, "fingerprint", "left_semi"), "met")
+    drop_table(found)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
