@@ -170,7 +170,10 @@ def table_chunks(tables: DataFrame) -> DataFrame:
                 yield 1, i, "row", named, label, column, value
             seen = set()
             for block in micro_blocks(cells):
-                text = "\n".join([*([head] if head else []), *(" | ".join(x for x in (label, f"{column}: {value}" if column else value) if x) for label, column, value in block)])
+                told = [f"{label} | {column}: {value}" if column else label for label, column, value in dict.fromkeys(block)]
+                text = "\n".join(x for x in (head, header, *told) if x)
+                if len(text) < LEAST_CHARS:
+                    continue
                 key = " ".join(text.lower().split())
                 if key not in seen:
                     yield 2, len(seen), "micro_block", text, None, None, None

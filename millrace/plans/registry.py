@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import answers, chunks, filings, search  # noqa: F401  (they register themselves)
+    from . import answers, chunks, documents, filings, search  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

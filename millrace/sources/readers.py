@@ -39,6 +39,21 @@ def submissions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUBMISSIONS).option("multiLine", True).json(path)
 
 
+def archive_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(cik, recent) of older submissions, which lie in files named CIK<number>-submissions-<page>.json."""
+    rows = spark.read.schema(RECENT[len("struct<") : -1].replace(":array", " array")).option("multiLine", True).json(path)
+    fields = F.struct(*[F.col(c) for c in rows.columns]).alias("recent")
+    return rows.select(F.regexp_extract(F.input_file_name(), r"CIK(\d+)", 1).alias("cik"), fields)
+
+
+def with_archives(current: DataFrame, archives: DataFrame) -> DataFrame:
+    """Filings of current and archive pages (cik, accessionNumber, position, ...), each accession once: the current page
+    comes first, then the lower position."""
+    both = current.withColumn("_page", F.lit(0)).unionByName(archives.withColumn("_page", F.lit(1)), allowMissingColumns=True)
+    first = Window.partitionBy("cik", "accessionNumber").orderBy("_page", "position")
+    return both.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "_page")
+
+
 def blobs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Raw files with their SHA-256, for parsers (plug-ins over ``mapInPandas``) to take."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
