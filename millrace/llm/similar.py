@@ -5,16 +5,20 @@ sets of 5-word shingles have a Jaccard similarity of ``percent`` or more, which
 fingerprints are wider (``BITS``), and one order of them is not enough:
 
 1. In each of several tables bits are dealt out anew, and fingerprints range-sorted by the Gray rank of the first 64.
-   In that order prefixes are the upper nodes of a tree: all below a node share its masked pattern of bits. A node
-   begins at ``prefix`` bits, which grow with the logarithm of the table, and one with over ``NODE`` fingerprints
-   hands on to its children, so that no group, however large, is compared all with all.
+   In that order all that share ``prefix`` bits, whose number grows with the logarithm of the table, are a node. No node
+   is capped: one with over ``NODE`` fingerprints, or with rows in two tasks, is cut into blocks, and every two
+   blocks of a node are joined.
 2. Within a node groups of 64 and 8 share patterns again; groups, and then fingerprints, are compared word by word,
    and dropped once their accumulated differences exceed ``radius``.
-3. A node reports spanning forests of what is left, nearest first, not all pairs.
-4. Reported pairs are checked on whole shingle sets; components of those that pass are the groups.
+3. Of what is left a node reports spanning forests, nearest pairs first, and as crowds the members of trees that have
+   further pairs.
+4. Reported pairs are checked on whole shingle sets. Then all pairs of crowds that those which passed have not
+   connected are checked as well; components of all that pass are the groups. So copies are not compared all with all,
+   but no pair that meets in a node is left out. Documents in one node that resemble each other without being copies
+   cost the square of their number.
 
 The number of tables is such that a pair at the threshold meets in at least one with 99 in 100, closer ones nearly
-always. A prefix that two ranges share is cut there; other tables cut elsewhere.
+always.
 """
 
 from __future__ import annotations
@@ -73,30 +77,42 @@ def _dealt(table: int) -> np.ndarray:
     return np.random.default_rng(table + 1).permutation(BITS)[:64]
 
 
-def segments(rank: np.ndarray, prefix: int, most: int = NODE) -> list[tuple[int, int]]:
-    """Nodes of two or more in sorted Gray ranks, as (begin, end)."""
-    if len(rank) < 2:
-        return []
-    apart = rank[1:] ^ rank[:-1]
-    common = np.where(apart == 0, 64, 63 - np.floor(np.log2(np.maximum(apart, np.uint64(1)).astype(np.float64)))).astype(np.int64)
-    found, open_ = [], [(0, len(rank), prefix)]
-    while open_:
-        a, b, least = open_.pop()
-        cuts = np.flatnonzero(common[a : b - 1] < least) + a + 1
-        for x, y in zip([a, *cuts.tolist()], [*cuts.tolist(), b], strict=True):
-            if y - x > most:
-                branch = int(common[x : y - 1].min()) + 1
-                if branch > 64:  # alike in all bits dealt out: neighbours in parts that overlap
-                    found += [(k, min(y, k + most)) for k in range(x, y, most // 2)]
-                else:
-                    open_.append((x, y, branch))
-            elif y - x > 1:
-                found.append((x, y))
-    return found
-
-
-def node_links(fps: np.ndarray, spans: list[tuple[int, int]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Forests of pairs (i, j) of rows of ``fps`` (n x 4) within ``radius`` in the same span, nearest pairs first."""
+def segments(rank: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes in sorted Gray ranks, as begins and ends: whatever shares its first ``prefix`` bits, however much that is."""
+    cuts = np.flatnonzero((rank[1:] ^ rank[:-1]) >> np.uint64(64 - prefix)) + 1
+    return np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rank)]))
+
+
+def reported(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of pairs of rows of ``fps``: ``FORESTS`` spanning forests (i, j), nearest pairs first, and for each tree that has
+    more pairs the rows that these are made of."""
+    apart = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1)
+    order = np.argsort(apart, kind="stable")
+    a, b, apart = a[order], b[order], apart[order]
+    names, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = codes[: len(a)], codes[len(a) :]
+    left, right, trees = [], [], None
+    for _ in range(FORESTS):
+        forest = Forest(len(names))
+        for level in np.unique(apart):
+            same = np.flatnonzero(apart == level)
+            forest.add(i[same], j[same])
+        trees = forest.label if trees is None else trees
+        if not forest.links:
+            break
+        u, v = np.array(forest.links).T
+        left.append(names[u])
+        right.append(names[v])
+        rest = ~np.isin(i * len(names) + j, u * len(names) + v)
+        i, j, apart = i[rest], j[rest], apart[rest]
+    ends = np.unique(np.concatenate((i, j)))
+    ends = ends[np.argsort(trees[ends], kind="stable")]
+    crowds = np.split(names[ends], np.flatnonzero(np.diff(trees[ends])) + 1) if len(ends) else []
+    return np.concatenate(left), np.concatenate(right), crowds
+
+
+def node_links(fps: np.ndarray, spans: list[tuple[int, int]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """What ``reported`` gives for the pairs of rows of ``fps`` (n x 4) within ``radius`` in the same span."""
     spans, at = sorted(spans), 0
     while at < len(spans):
         # spans of up to PAIRS pairs together
@@ -127,25 +143,19 @@ def node_links(fps: np.ndarray, spans: list[tuple[int, int]], radius: int) -> It
                 x, apart = x[near], apart[near]
             left.append(x)
             right.append(x + step)
-        a, b = np.concatenate(left), np.concatenate(right)
-        if not len(a):
-            continue
-        apart = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1)
-        order = np.argsort(apart, kind="stable")
-        a, b, apart = a[order], b[order], apart[order]
-        names, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
-        i, j = codes[: len(a)], codes[len(a) :]
-        for _ in range(FORESTS):
-            forest = Forest(len(names))
-            for level in np.unique(apart):
-                same = np.flatnonzero(apart == level)
-                forest.add(i[same], j[same])
-            if not forest.links:
-                break
-            u, v = np.array(forest.links).T
-            yield names[u], names[v]
-            rest = ~np.isin(i * len(names) + j, u * len(names) + v)
-            i, j, apart = i[rest], j[rest], apart[rest]
+        if sum(map(len, left)):
+            yield reported(fps, np.concatenate(left), np.concatenate(right))
+
+
+def block_links(one: np.ndarray, other: np.ndarray | None, radius: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]:
+    """The same for two blocks of a node, or one with itself (``other`` None), and the rows that the numbers mean."""
+    both = one if other is None else np.concatenate((one, other))
+    left, right = [], []
+    for i, j in pairs_within(one, one if other is None else other, radius, (64, 8, 1)):
+        upper = i < j if other is None else np.ones(len(i), dtype=bool)
+        left.append(i[upper])
+        right.append(j[upper] + (0 if other is None else len(one)))
+    return both, [reported(both, np.concatenate(left), np.concatenate(right))] if sum(map(len, left)) else []
 
 
 def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -160,9 +170,32 @@ def _packed(fps: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(fps), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(fps))])
 
 
-def candidate_pairs(fps: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): pairs of the distinct ``fps.fp`` (``BITS`` / 8 bytes each) that the index reports."""
+def _words(members: bytes) -> np.ndarray:
+    return np.frombuffer(members, "<u8").reshape(-1, BITS // 64)
+
+
+_FOUND = "tbl int, value long, block long, members binary, a binary, b binary"
+
+
+def _found(fps: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """Links and crowds as rows of ``_FOUND``."""
+    for i, j, crowds in links:
+        yield _rows(len(i), a=_packed(fps[i]), b=_packed(fps[j]))
+        if crowds:  # in one order, so that the same crowd of another table is equal
+            yield _rows(len(crowds), members=pa.array([fps[c][np.lexsort(fps[c].T)].tobytes() for c in crowds], pa.binary()))
+
+
+def _rows(n: int, **given: pa.Array) -> pa.RecordBatch:
+    kinds = {"tbl": pa.int32(), "value": pa.int64(), "block": pa.int64(), "members": pa.binary(), "a": pa.binary(), "b": pa.binary()}
+    return pa.RecordBatch.from_arrays([given.get(k, pa.nulls(n, t)) for k, t in kinds.items()], list(kinds))
+
+
+def candidates(fps: DataFrame, n: int, percent: int, node: int = NODE, hold: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """What the index reports of the distinct ``fps.fp`` (``BITS`` / 8 bytes each): pairs (a, b), and crowds (members:
+    fingerprints one after another). Every two fingerprints within the radius that share a node of any table are a
+    pair or in one crowd."""
     prefix, tables, radius = plan_tables(n, percent)
+    shift = np.uint64(64 - prefix)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = [_dealt(t) for t in range(tables)]
@@ -176,39 +209,139 @@ def candidate_pairs(fps: DataFrame, n: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rank), t, np.int32)), pa.array(rank.view(np.int64)), column], ["tbl", "gray", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, serial = TaskContext.get().partitionId() << 32, 0
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, edge = 0, None  # edge: a node that has rows elsewhere, maybe
 
-        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        def opened(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Tables and nodes of rows, begins and ends of the runs that share both."""
             tbl = rows.column("tbl").to_numpy()
             rank = rows.column("gray").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-            fps = np.ascontiguousarray(_unpacked(rows.column("fp"))).view("<u8")
             ends = np.flatnonzero(np.diff(tbl)) + 1
-            spans = [(a + x, a + y) for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(tbl)], strict=True) for x, y in segments(rank[a:b], prefix)]
-            for i, j in node_links(fps, spans, radius):
-                yield pa.RecordBatch.from_arrays([_packed(fps[i]), _packed(fps[j])], ["a", "b"])
+            runs = [(a, *segments(rank[a:b], prefix)) for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(tbl)], strict=True)]
+            return tbl, (rank >> shift).astype(np.int64), np.concatenate([x + a for a, x, _ in runs]), np.concatenate([y + a for a, _, y in runs])
+
+        def done(rows: pa.Table, ended: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal serial
+            tbl, value, begins, ends = opened(rows)
+            fps = np.ascontiguousarray(_unpacked(rows.column("fp"))).view("<u8")
+            apart = ends - begins > node
+            apart[0] |= (tbl[0], value[0]) == edge
+            apart[-1] |= ended
+            # nodes that are large, or go on in another task, are left to the join of their blocks
+            for a, b in zip(begins[apart].tolist(), ends[apart].tolist(), strict=True):
+                parts = [fps[k : min(b, k + node)].tobytes() for k in range(a, b, node)]
+                m = len(parts)
+                yield _rows(m, tbl=pa.array(np.full(m, tbl[a], np.int32)), value=pa.array(np.full(m, value[a])), block=pa.array(np.arange(m) + task + serial), members=pa.array(parts, pa.binary()))
+                serial += m
+            whole = ~apart & (ends - begins > 1)
+            yield from _found(fps, node_links(fps, list(zip(begins[whole].tolist(), ends[whole].tolist(), strict=True)), radius))
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             size += batch.num_rows
-            if size < HELD:
+            if size < hold and edge is not None:
                 continue
             rows = pa.Table.from_batches(held)
-            # what may go on waits for the next batch: the last node, as far as it is not over half of what is held
-            rank = rows.column("gray").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-            tbl = rows.column("tbl").to_numpy()
-            shift = np.uint64(64 - prefix)
-            last = int(np.flatnonzero((tbl == tbl[-1]) & (rank >> shift == rank[-1] >> shift))[0])
-            last = size if last < size // 2 else last
-            yield from done(rows.slice(0, last))
+            tbl, value, begins, _ = opened(rows)
+            edge = edge or (tbl[0], value[0])
+            if size < hold:
+                continue
+            # the last node may go on in the next batch; one that fills all that is held is cut into blocks
+            last = int(begins[-1]) or size
+            edge = (tbl[0], value[0]) if last == size else edge
+            yield from done(rows.slice(0, last), False)
             held, size = rows.slice(last).to_batches(), size - last
         if size:
-            yield from done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held), True)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                yield from _found(*block_links(_words(x.as_py()), None if not y.is_valid else _words(y.as_py()), radius))
 
     dealt = fps.select("fp").mapInArrow(deal, "tbl int, gray long, fp binary")
     ordered = dealt.repartitionByRange("tbl", "gray").sortWithinPartitions("tbl", "gray", "fp")
-    pairs = ordered.mapInArrow(compare, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    found = materialise(ordered.mapInArrow(compare, _FOUND), "nodes")
+    blocks = found.where("block is not null").select("tbl", "value", "block", "members")
+    # every two blocks of a node meet in one of its shares, which hold 16 blocks on one side
+    shares = blocks.groupBy("tbl", "value").agg(F.ceil(F.count("*") / 16).cast("int").alias("shares"))
+    placed = blocks.join(shares, ["tbl", "value"])
+    one = placed.select("tbl", "value", F.pmod(F.xxhash64("block"), "shares").cast("int").alias("share"), F.col("block").alias("k"), F.col("members").alias("x"))
+    other = placed.select("tbl", "value", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("block").alias("l"), F.col("members").alias("y"))
+    between = one.join(other, ["tbl", "value", "share"]).where("k < l").select("x", "y")
+    within = blocks.where(F.length("members") > BITS // 8).select(F.col("members").alias("x"), F.lit(None).cast("binary").alias("y"))
+    more = materialise(within.union(between).mapInArrow(join, _FOUND), "blocks")
+    pairs = found.where("a is not null").union(more.where("a is not null"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    crowds = found.where("block is null and members is not null").union(more.where("members is not null")).select("members").distinct()
+    return pairs, crowds
+
+
+def crowd_pairs(crowds: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
+    """(a, b): all pairs of a crowd within ``radius`` that ``labels`` (fp, root, mixed) doesn't have under one root;
+    a mixed fingerprint stands for several."""
+    size = BITS // 8
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for crowd, members in zip(batch.column(0), batch.column(1), strict=True):
+                fps = np.frombuffer(members.as_py(), np.uint8).reshape(-1, size)
+                yield pa.RecordBatch.from_arrays([pa.array([crowd.as_py()] * len(fps), pa.string()), _packed(fps)], ["crowd", "fp"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column(0):
+                own = members.as_py()
+                fps = _words(b"".join(m["fp"] for m in own))
+                roots = np.unique(np.array([m["root"].hex() for m in own]), return_inverse=True)[1]
+                mixed = np.array([m["mixed"] for m in own])
+                for i, j in pairs_within(fps, fps, radius, (64, 8, 1)):
+                    new = (i < j) & ((roots[i] != roots[j]) | mixed[i] | mixed[j])
+                    if new.any():
+                        yield pa.RecordBatch.from_arrays([_packed(fps[i[new]]), _packed(fps[j[new]])], ["a", "b"])
+
+    rows = crowds.select(F.md5("members").alias("crowd"), "members").mapInArrow(opened, "crowd string, fp binary").join(labels, "fp")
+    order = F.array_sort(F.collect_list(F.struct("fp", "root", "mixed"))).alias("own")
+    several = rows.groupBy("crowd").agg(order, F.min("root").alias("low"), F.max("root").alias("high"), F.max("mixed").alias("mixed")).where("low <> high or mixed")
+    pairs = several.select("own").mapInArrow(compare, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def checked(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): those ``pairs`` (x, y) of signatures whose whole sets are similar by ``percent`` or more. ``distinct`` has
+    the key of a text for each signature, ``rows`` the texts by key."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct()
+    keys = materialise(distinct.join(wanted, "sig").select("sig", F.col("best.key").alias("key")), "wanted")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingles(t.as_py().encode("utf-8", "surrogatepass"), width).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["sig", "own"])
+
+    texts = rows.select("key", "text").join(keys, "key").dropDuplicates(["sig"]).select("sig", "text")
+    sets = materialise(texts.mapInArrow(whole, "sig binary, own binary"), "shingles")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("own_x"), batch.column("own_y"), strict=True):
+                a, b = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
+                good.append(100 * both >= percent * (len(a) + len(b) - both))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(mask), batch.column("y").filter(mask)], ["a", "b"])
+
+    sided = pairs
+    for side in ("x", "y"):
+        sided = sided.join(sets.select(F.col("sig").alias(side), F.col("own").alias(f"own_{side}")), side)
+    return sided.select("x", "y", "own_x", "own_y").mapInArrow(check, "a binary, b binary")
 
 
 def keep_one_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -237,40 +370,36 @@ def keep_one_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")
     distinct = materialise(slim.groupBy("sig", "fp").agg(best), "distinct")
     firsts = materialise(distinct.groupBy("fp").agg(F.min("sig").alias("sig"), F.count("*").alias("n")), "fingerprints")
-    found = materialise(candidate_pairs(firsts, firsts.count(), percent), "candidates")
-    # fingerprints stand for one set each; other sets with the same one are checked against it
-    named = firsts.select("fp", "sig")
-    pairs = found.join(named.select(F.col("fp").alias("a"), F.col("sig").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("sig").alias("y")), "b").select("x", "y")
-    twins = distinct.join(firsts.where("n > 1").select("fp", F.col("sig").alias("x")), "fp").select("x", F.col("sig").alias("y")).where("x <> y")
-    pairs = materialise(pairs.union(twins), "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct()
-    keys = materialise(distinct.join(wanted, "sig").select("sig", F.col("best.key").alias("key")), "wanted")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingles(t.as_py().encode("utf-8", "surrogatepass"), width).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["sig", "own"])
-
-    texts = rows.select("key", "text").join(keys, "key").dropDuplicates(["sig"]).select("sig", "text")
-    sets = materialise(texts.mapInArrow(whole, "sig binary, own binary"), "shingles")
+    n = firsts.count()
+    found, crowds = candidates(firsts, n, percent)
+    found, crowds = materialise(found, "candidates"), materialise(crowds, "crowds")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("own_x"), batch.column("own_y"), strict=True):
-                a, b = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(mask), batch.column("y").filter(mask)], ["a", "b"])
+    def one_order(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
-    sided = pairs
-    for side in ("x", "y"):
-        sided = sided.join(sets.select(F.col("sig").alias(side), F.col("own").alias(f"own_{side}")), side)
-    links = sided.select("x", "y", "own_x", "own_y").mapInArrow(check, "a binary, b binary")
-    stars = materialise(components(links), "stars")
+    # first, fingerprints stand for one set each; other sets with the same one are checked against it
+    named = firsts.select("fp", "sig")
+    pairs = found.join(named.select(F.col("fp").alias("a"), F.col("sig").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("sig").alias("y")), "b").select("x", "y")
+    several = firsts.where("n > 1")
+    twins = distinct.join(several.select("fp", F.col("sig").alias("x")), "fp").select("x", F.col("sig").alias("y")).where("x <> y")
+    pairs = materialise(one_order(pairs.union(twins)), "pairs")
+    stars = materialise(components(checked(pairs, distinct, rows, width, percent)), "stars")
+    # then whatever the index reports between sets that this has not connected
+    rooted = materialise(distinct.join(stars, distinct["sig"] == stars["node"], "left").select("fp", "sig", F.coalesce("root", "sig").alias("root")), "rooted")
+    labels = materialise(rooted.groupBy("fp").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed")), "labels")
+    between = crowd_pairs(crowds, labels, plan_tables(n, percent)[2])
+    for side in ("a", "b"):
+        between = between.union(found.join(several.select(F.col("fp").alias(side)), side, "left_semi").select("a", "b"))
+    between = between.distinct()
+    for side, own in (("a", "x"), ("b", "y")):
+        between = between.join(rooted.select(F.col("fp").alias(side), F.col("sig").alias(own), F.col("root").alias(f"root_{own}")), side)
+    mixed = rooted.join(labels.where("mixed").select("fp"), "fp", "left_semi")
+    twins = mixed.select("fp", F.col("sig").alias("x"), F.col("root").alias("root_x")).join(mixed.select("fp", F.col("sig").alias("y"), F.col("root").alias("root_y")), "fp").where("x < y")
+    rest = between.select("x", "y", "root_x", "root_y").union(twins.select("x", "y", "root_x", "root_y")).where("root_x <> root_y")
+    rest = materialise(one_order(rest).distinct().join(pairs, ["x", "y"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = checked(rest, distinct, rows, width, percent)
+        stars = materialise(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "stars")
     grouped = distinct.join(stars, distinct["sig"] == stars["node"], "left").select(F.coalesce("root", "sig").alias("root"), "best")
     kept = grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("key")).distinct()
     # few rows go, so they are what rows are held against: where they are few enough to send around, texts stay where they are

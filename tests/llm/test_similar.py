@@ -41,3 +41,91 @@ def test_near_copies_are_found(spark, frame, tmp_path):
     assert left.columns == docs.columns
     assert {r["doc_id"] for r in left.collect()} == slow_kept(rows)
     assert corpus_pipeline.near_copies(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def within(fps, plan):
+    """All pairs of fingerprints within the radius that share a node of any table."""
+    import numpy as np
+
+    from millrace.llm.similar import _dealt
+    from millrace.llm.simhash import gray_rank
+
+    prefix, tables, radius = plan
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+    near = (bits[:, None, :] != bits[None, :, :]).sum(axis=2) <= radius
+    meet = np.zeros_like(near)
+    for t in range(tables):
+        codes = np.ascontiguousarray(np.packbits(bits[:, _dealt(t)], axis=1)).view(">u8").ravel().astype(np.uint64)
+        node = gray_rank(codes) >> np.uint64(64 - prefix)
+        meet |= node[:, None] == node[None, :]
+    return {(i, j) for i, j in zip(*np.nonzero(near & meet), strict=True) if i < j}
+
+
+def test_nodes_of_any_size_are_whole(spark):
+    import numpy as np
+
+    from millrace.llm import similar
+
+    rng = np.random.default_rng(4)
+    # a crowd about one fingerprint, thin pairs about others
+    bits = [rng.integers(0, 2, 256, dtype=np.uint8) for _ in range(60)]
+    bits += [b ^ (rng.random(256) < 0.1).astype(np.uint8) for b in bits] + [bits[0] ^ (rng.random(256) < p).astype(np.uint8) for p in (0.08, 0.12, 0.16) for _ in range(60)]
+    fps = np.unique(np.packbits(np.stack(bits), axis=1, bitorder="little"), axis=0)
+    number = {f.tobytes(): k for k, f in enumerate(fps)}
+    table = spark.createDataFrame([(bytearray(f.tobytes()),) for f in fps], "fp binary")
+    plan = similar.plan_tables(len(fps), 80)
+    want = within(fps, plan)
+    for node, hold in ((similar.NODE, similar.HELD), (16, 40), (3, 1)):
+        pairs, crowds = similar.candidates(table, len(fps), 80, node, hold)
+        ends = lambda r: tuple(sorted(number[bytes(x)] for x in r))
+        found = {ends(r) for r in pairs.collect()}
+        assert found <= want
+        packs = [[number[bytes(r["members"][k : k + 32])] for k in range(0, len(r["members"]), 32)] for r in crowds.collect()]
+        assert want <= found | {tuple(sorted((i, j))) for own in packs for i in own for j in own}
+        # of a crowd all pairs that are not known to be connected are looked at
+        labels = spark.createDataFrame([(bytearray(f.tobytes()), bytearray(f.tobytes()[:16]), False) for f in fps], "fp binary, root binary, mixed boolean")
+        assert want <= found | {ends(r) for r in similar.crowd_pairs(crowds, labels, plan[2]).collect()}
+
+
+def test_crowds_lose_no_link(spark, frame, tmp_path):
+    """Documents that resemble each other, few of which are copies: nearest pairs of fingerprints are not the links."""
+    import numpy as np
+
+    import corpus_pipeline
+    from millrace.llm import similar
+
+    rng = random.Random(17)
+    words = prose(rng, 60).split()
+    texts = []
+    for _ in range(120):
+        own = list(words)
+        for _ in range(rng.choice((1, 2))):
+            own[rng.randrange(len(own))] = prose(rng, 1, "xyz") + "q"
+        texts.append(" ".join(own))
+    texts = list(dict.fromkeys(texts))
+    sets = [similar.shingles(t.encode()) for t in texts]
+    fps = np.stack([similar.wide_fingerprint(s) for s in sets])
+    alike = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    root = list(range(len(texts)))
+    for i, j in within(fps, similar.plan_tables(len(fps), 80)) | {(i, j) for j in range(len(texts)) for i in range(j) if (fps[i] == fps[j]).all()}:
+        if alike(i, j):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    left = corpus_pipeline.near_copies(spark, frame(rows_for(texts)), str(tmp_path))
+    assert {r["doc_id"] for r in left.collect()} == set(root)
+
+
+def test_sets_with_one_fingerprint(spark, monkeypatch):
+    """Sets that share a fingerprint with an unlike one are held against its partners, and each other, too."""
+    from millrace.llm import similar
+
+    rng = random.Random(2)
+    first, second = prose(rng, 40), prose(rng, 40)
+    texts = [first, second, first + " xq", second + " xq", second + " yq", prose(rng, 40)]
+    rows = spark.createDataFrame(rows_for(texts), "doc_id long, text string, lang string, source string, n_chars long, row_key string, runs int")
+    plain = similar.wide_fingerprint
+    same = {similar.shingles(t.encode()).tobytes() for t in texts[:5]}
+    one = plain(similar.shingles(texts[0].encode()))
+    monkeypatch.setattr(similar, "wide_fingerprint", lambda hashes: one if hashes.tobytes() in same else plain(hashes))
+    keep = similar.keep_one_similar(rows, 5, 80)
+    assert {r["doc_id"] for r in keep.collect()} == {0, 1, 5}
