@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,31 @@ def row_key(*columns: Column | str) -> Column:
     return F.md5(F.concat(*[part((F.col(c) if isinstance(c, str) else c).cast("string")) for c in given]))
 
 
+#: Bits of ``key_marks``, whatever the number of keys.
+MARKS = 1 << 23
+
+
+def key_marks(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of a column of keys (as by ``row_key``): true for all of ``keys.key`` and, as it knows ``MARKS`` bits only,
+    for some others. Where few rows are to be joined by key, those it tells apart needn't be dealt out."""
+
+    def place(key: Column) -> Column:
+        return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % MARKS
+
+    # bits are numbered from 1
+    at = place(F.col("key")) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    found = {r["bucket"]: bytes(r["bits"]) for r in parts}
+    marks = np.frombuffer(b"".join(found.get(k + 1, bytes(4096)) for k in range(MARKS >> 15)), np.uint8)
+
+    @F.arrow_udf("boolean")
+    def marked(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((marks[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return lambda key: marked(place(key))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

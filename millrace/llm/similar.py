@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, row_key, text_or_empty
+from .common import free_name, key_marks, materialise, row_key, text_or_empty
 from .simhash import Forest, components, gray_rank, pairs_within
 
 BITS, NODE, FORESTS = 256, 512, 2
@@ -289,21 +289,30 @@ def crowd_pairs(crowds: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for crowd, members in zip(batch.column(0), batch.column(1), strict=True):
-                fps = np.frombuffer(members.as_py(), np.uint8).reshape(-1, size)
-                yield pa.RecordBatch.from_arrays([pa.array([crowd.as_py()] * len(fps), pa.string()), _packed(fps)], ["crowd", "fp"])
+            for at in range(0, batch.num_rows, 100):
+                names, members = batch.column(0).slice(at, 100), batch.column(1).slice(at, 100).to_pylist()
+                fps = np.frombuffer(b"".join(members), np.uint8).reshape(-1, size)
+                of = np.repeat(np.arange(len(members)), [len(m) // size for m in members])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), _packed(fps)], ["crowd", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            left, right, held = [], [], 0
             for members in batch.column(0):
-                own = members.as_py()
-                fps = _words(b"".join(m["fp"] for m in own))
-                roots = np.unique(np.array([m["root"].hex() for m in own]), return_inverse=True)[1]
-                mixed = np.array([m["mixed"] for m in own])
+                own = members.values
+                fps = _unpacked(own.field("fp")).view("<u8")
+                roots = own.field("root").dictionary_encode().indices.to_numpy()
+                mixed = own.field("mixed").to_numpy(zero_copy_only=False)
                 for i, j in pairs_within(fps, fps, radius, (64, 8, 1)):
                     new = (i < j) & ((roots[i] != roots[j]) | mixed[i] | mixed[j])
-                    if new.any():
-                        yield pa.RecordBatch.from_arrays([_packed(fps[i[new]]), _packed(fps[j[new]])], ["a", "b"])
+                    left.append(fps[i[new]])
+                    right.append(fps[j[new]])
+                    held += int(new.sum())
+                if held >= HELD:
+                    yield pa.RecordBatch.from_arrays([_packed(np.concatenate(left)), _packed(np.concatenate(right))], ["a", "b"])
+                    left, right, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([_packed(np.concatenate(left)), _packed(np.concatenate(right))], ["a", "b"])
 
     rows = crowds.select(F.md5("members").alias("crowd"), "members").mapInArrow(opened, "crowd string, fp binary").join(labels, "fp")
     order = F.array_sort(F.collect_list(F.struct("fp", "root", "mixed"))).alias("own")
@@ -325,7 +334,7 @@ def checked(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, width: int,
                 sets = [shingles(t.as_py().encode("utf-8", "surrogatepass"), width).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["sig", "own"])
 
-    texts = rows.select("key", "text").join(keys, "key").dropDuplicates(["sig"]).select("sig", "text")
+    texts = rows.select("key", "text").where(key_marks(keys)(F.col("key"))).join(keys, "key").dropDuplicates(["sig"]).select("sig", "text")
     sets = materialise(texts.mapInArrow(whole, "sig binary, own binary"), "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +379,7 @@ def keep_one_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")
     distinct = materialise(slim.groupBy("sig", "fp").agg(best), "distinct")
     firsts = materialise(distinct.groupBy("fp").agg(F.min("sig").alias("sig"), F.count("*").alias("n")), "fingerprints")
-    n = firsts.count()
+    n, shared = firsts.agg(F.count("*"), F.count(F.when(F.col("n") > 1, 1))).first()
     found, crowds = candidates(firsts, n, percent)
     found, crowds = materialise(found, "candidates"), materialise(crowds, "crowds")
 
@@ -381,31 +390,39 @@ def keep_one_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     named = firsts.select("fp", "sig")
     pairs = found.join(named.select(F.col("fp").alias("a"), F.col("sig").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("sig").alias("y")), "b").select("x", "y")
     several = firsts.where("n > 1")
-    twins = distinct.join(several.select("fp", F.col("sig").alias("x")), "fp").select("x", F.col("sig").alias("y")).where("x <> y")
-    pairs = materialise(one_order(pairs.union(twins)), "pairs")
+    if shared:
+        twins = distinct.join(several.select("fp", F.col("sig").alias("x")), "fp").select("x", F.col("sig").alias("y")).where("x <> y")
+        pairs = pairs.union(twins)
+    pairs = materialise(one_order(pairs), "pairs")
     stars = materialise(components(checked(pairs, distinct, rows, width, percent)), "stars")
     # then whatever the index reports between sets that this has not connected
     rooted = materialise(distinct.join(stars, distinct["sig"] == stars["node"], "left").select("fp", "sig", F.coalesce("root", "sig").alias("root")), "rooted")
-    labels = materialise(rooted.groupBy("fp").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed")), "labels")
+    labels = rooted.select("fp", "root", F.lit(False).alias("mixed"))
+    if shared:
+        labels = materialise(rooted.groupBy("fp").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed")), "labels")
     between = crowd_pairs(crowds, labels, plan_tables(n, percent)[2])
-    for side in ("a", "b"):
-        between = between.union(found.join(several.select(F.col("fp").alias(side)), side, "left_semi").select("a", "b"))
-    between = between.distinct()
+    if shared:
+        for side in ("a", "b"):
+            between = between.union(found.join(several.select(F.col("fp").alias(side)), side, "left_semi").select("a", "b"))
+        between = between.distinct()
     for side, own in (("a", "x"), ("b", "y")):
         between = between.join(rooted.select(F.col("fp").alias(side), F.col("sig").alias(own), F.col("root").alias(f"root_{own}")), side)
-    mixed = rooted.join(labels.where("mixed").select("fp"), "fp", "left_semi")
-    twins = mixed.select("fp", F.col("sig").alias("x"), F.col("root").alias("root_x")).join(mixed.select("fp", F.col("sig").alias("y"), F.col("root").alias("root_y")), "fp").where("x < y")
-    rest = between.select("x", "y", "root_x", "root_y").union(twins.select("x", "y", "root_x", "root_y")).where("root_x <> root_y")
-    rest = materialise(one_order(rest).distinct().join(pairs, ["x", "y"], "left_anti"), "rest")
+    rest = between.select("x", "y", "root_x", "root_y")
+    if shared:
+        mixed = rooted.join(labels.where("mixed").select("fp"), "fp", "left_semi")
+        twins = mixed.select("fp", F.col("sig").alias("x"), F.col("root").alias("root_x")).join(mixed.select("fp", F.col("sig").alias("y"), F.col("root").alias("root_y")), "fp").where("x < y")
+        rest = rest.union(twins.select("x", "y", "root_x", "root_y"))
+    rest = one_order(rest.where("root_x <> root_y"))
+    rest = materialise((rest.distinct() if shared else rest).join(pairs, ["x", "y"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = checked(rest, distinct, rows, width, percent)
         stars = materialise(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "stars")
     grouped = distinct.join(stars, distinct["sig"] == stars["node"], "left").select(F.coalesce("root", "sig").alias("root"), "best")
     kept = grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("key")).distinct()
-    # few rows go, so they are what rows are held against: where they are few enough to send around, texts stay where they are
+    # few rows go or are repeated; those that surely are neither stay where they are, and only the others are dealt out
     keys = slim.groupBy("key").agg(F.count("*").alias("n"))
-    gone = materialise(keys.join(kept, "key", "left_anti").select(F.col("key").alias(key)), "gone")
-    repeated = materialise(keys.where("n > 1").select(F.col("key").alias(key)), "repeated")
-    stay = keyed.join(gone, key, "left_anti")
-    once, again = stay.join(repeated, key, "left_anti"), stay.join(repeated, key, "left_semi").dropDuplicates([key])
+    gone = materialise(keys.join(kept, "key", "left_anti").select("key"), "gone")
+    touched = key_marks(gone.union(keys.where("n > 1").select("key")))(F.col(key))
+    once = keyed.where(~touched)
+    again = keyed.where(touched).join(gone.select(F.col("key").alias(key)), key, "left_anti").dropDuplicates([key])
     return once.unionByName(again).select(*mine)

@@ -129,3 +129,16 @@ def test_sets_with_one_fingerprint(spark, monkeypatch):
     monkeypatch.setattr(similar, "wide_fingerprint", lambda hashes: one if hashes.tobytes() in same else plain(hashes))
     keep = similar.keep_one_similar(rows, 5, 80)
     assert {r["doc_id"] for r in keep.collect()} == {0, 1, 5}
+
+
+def test_key_marks(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm.common import key_marks, row_key
+
+    keys = spark.range(3000).select(row_key("id").alias("key"), "id")
+    hit = keys.where(key_marks(keys.where("id < 1000"))(F.col("key"))).select("id").collect()
+    assert {r["id"] for r in hit} >= set(range(1000)) and len(hit) < 1020
+    assert keys.where(key_marks(keys.limit(0))(F.col("key"))).count() == 0
+    edges = spark.createDataFrame([(x * 4,) for x in ("00000000", "00007fff", "00008000", "007fffff", "ffffffff")], "key string")
+    assert edges.where(key_marks(edges)(F.col("key"))).count() == 5
