@@ -12,10 +12,13 @@ fingerprints are wider (``BITS``), and one order of them is not enough:
    and dropped once their accumulated differences exceed ``radius``.
 3. Of what is left a node reports spanning forests, nearest pairs first, and as crowds the members of trees that have
    further pairs.
-4. Reported pairs are checked on whole shingle sets. Then all pairs of crowds that those which passed have not
-   connected are checked as well; components of all that pass are the groups. So copies are not compared all with all,
-   but no pair that meets in a node is left out. Documents in one node that resemble each other without being copies
-   cost the square of their number.
+4. Reported pairs are checked on whole shingle sets. Then the pairs of crowds that those which passed have not
+   connected are held against sketches of the sets (``sketch``), which bound the difference of two sets from below and
+   so rule out nearly all that are not similar, and no other. Of what is left a crowd reports a spanning forest, and
+   then all pairs that are still not connected; those are checked as well, and components of all that pass are the
+   groups. So no pair that meets in a node is left out. Documents in one node that resemble each other without being
+   copies cost a comparison of words of bits each two, but aren't rows, except those within a few hundredths of the
+   threshold.
 
 The number of tables is such that a pair at the threshold meets in at least one with 99 in 100, closer ones nearly
 always.
@@ -63,6 +66,29 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls on each of four to eight bits for each hash, a power of two in all.
+    The sketches of two sets differ in no more bits than the sets in hashes; folding them to a smaller size keeps that."""
+    size = max(64, 1 << (4 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def sketches_apart(sketches: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of each pair differ, at the smaller one's size."""
+    words = np.array([len(s) for s in sketches], dtype=np.int64)
+    least, apart = np.minimum(words[i], words[j]), np.zeros(len(i), dtype=np.int64)
+    for size in np.unique(least).tolist():
+        own = np.flatnonzero(least == size)
+        named, codes = np.unique(np.concatenate((i[own], j[own])), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(sketches[k].reshape(-1, size), axis=0) for k in named.tolist()])
+        a, b, step = codes[: len(own)], codes[len(own) :], max(1, PAIRS // size)
+        for at in range(0, len(own), step):
+            part = slice(at, at + step)
+            apart[own[part]] = np.bitwise_count(folded[a[part]] ^ folded[b[part]]).sum(axis=1)
+    return apart
+
+
 def plan_tables(n: int, percent: int) -> tuple[int, int, int]:
     """(prefix, tables, radius) for ``n`` fingerprints."""
     j = percent / 100
@@ -282,10 +308,14 @@ def candidates(fps: DataFrame, n: int, percent: int, node: int = NODE, hold: int
     return pairs, crowds
 
 
-def crowd_pairs(crowds: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
-    """(a, b): all pairs of a crowd within ``radius`` that ``labels`` (fp, root, mixed) doesn't have under one root;
-    a mixed fingerprint stands for several."""
+def crowd_pairs(crowds: DataFrame, labels: DataFrame, radius: int, percent: int = 0, every: bool = True) -> DataFrame:
+    """(a, b): the pairs of a crowd within ``radius`` that ``labels`` (fp, root, mixed) doesn't have under one root; a
+    mixed fingerprint stands for several. Where ``labels`` has the size and sketch of a set, pairs go whose sketches rule
+    out a similarity of ``percent``. Of pairs of fingerprints that aren't mixed only a spanning forest of the roots is
+    given, nearest first, unless ``every``."""
     size = BITS // 8
+    if "sketch" not in labels.columns:
+        labels = labels.withColumns({"size": F.lit(None).cast("long"), "sketch": F.lit(None).cast("binary")})
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,19 +325,52 @@ def crowd_pairs(crowds: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
                 of = np.repeat(np.arange(len(members)), [len(m) // size for m in members])
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), _packed(fps)], ["crowd", "fp"])
 
+    def open_pairs(own: pa.StructArray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of one crowd that nothing rules out; all of them, or a forest."""
+        roots = own.field("root").dictionary_encode().indices.to_numpy()
+        mixed = own.field("mixed").to_numpy(zero_copy_only=False)
+        sizes = own.field("size").fill_null(-1).to_numpy(zero_copy_only=False)
+        marks = [np.frombuffer(m or bytes(8), "<u8") for m in own.field("sketch").to_pylist()]
+        left, right, apart = [], [], []
+        for i, j in pairs_within(fps, fps, radius, (64, 8, 1)):
+            new = (i < j) & ((roots[i] != roots[j]) | mixed[i] | mixed[j])
+            i, j = i[new], j[new]
+            known = (sizes[i] >= 0) & (sizes[j] >= 0)
+            good = ~known | (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+            i, j, known = i[good], j[good], known[good]
+            bits = np.zeros(len(i), dtype=np.int64)
+            bits[known] = sketches_apart(marks, i[known], j[known])
+            # sets a and b are similar if (100 + percent) * |a ^ b| <= (100 - percent) * (|a| + |b|)
+            good = ~known | ((100 + percent) * bits <= (100 - percent) * (sizes[i] + sizes[j]))
+            left.append(i[good])
+            right.append(j[good])
+            apart.append(bits[good])
+        if not sum(map(len, left)):
+            return
+        i, j, apart = (np.concatenate(x) for x in (left, right, apart))
+        if every:
+            yield i, j
+            return
+        loose = mixed[i] | mixed[j]
+        yield i[loose], j[loose]
+        forest = Forest(len(fps))
+        forest.label = np.unique(roots, return_index=True)[1][np.unique(roots, return_inverse=True)[1]]
+        for level in np.unique(apart[~loose]):
+            same = ~loose & (apart == level)
+            forest.add(i[same], j[same])
+        if forest.links:
+            yield tuple(np.array(forest.links).T)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right, held = [], [], 0
             for members in batch.column(0):
                 own = members.values
                 fps = _unpacked(own.field("fp")).view("<u8")
-                roots = own.field("root").dictionary_encode().indices.to_numpy()
-                mixed = own.field("mixed").to_numpy(zero_copy_only=False)
-                for i, j in pairs_within(fps, fps, radius, (64, 8, 1)):
-                    new = (i < j) & ((roots[i] != roots[j]) | mixed[i] | mixed[j])
-                    left.append(fps[i[new]])
-                    right.append(fps[j[new]])
-                    held += int(new.sum())
+                for i, j in open_pairs(own, fps):
+                    left.append(fps[i])
+                    right.append(fps[j])
+                    held += len(i)
                 if held >= HELD:
                     yield pa.RecordBatch.from_arrays([_packed(np.concatenate(left)), _packed(np.concatenate(right))], ["a", "b"])
                     left, right, held = [], [], 0
@@ -315,15 +378,15 @@ def crowd_pairs(crowds: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_packed(np.concatenate(left)), _packed(np.concatenate(right))], ["a", "b"])
 
     rows = crowds.select(F.md5("members").alias("crowd"), "members").mapInArrow(opened, "crowd string, fp binary").join(labels, "fp")
-    order = F.array_sort(F.collect_list(F.struct("fp", "root", "mixed"))).alias("own")
+    order = F.array_sort(F.collect_list(F.struct("fp", "root", "mixed", "size", "sketch"))).alias("own")
     several = rows.groupBy("crowd").agg(order, F.min("root").alias("low"), F.max("root").alias("high"), F.max("mixed").alias("mixed")).where("low <> high or mixed")
     pairs = several.select("own").mapInArrow(compare, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def checked(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): those ``pairs`` (x, y) of signatures whose whole sets are similar by ``percent`` or more. ``distinct`` has
-    the key of a text for each signature, ``rows`` the texts by key."""
+def whole_sets(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(sig, own): the shingles of each signature in ``pairs`` (x, y). ``distinct`` has the key of a text for each
+    signature, ``rows`` the texts by key."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct()
     keys = materialise(distinct.join(wanted, "sig").select("sig", F.col("best.key").alias("key")), "wanted")
 
@@ -335,7 +398,11 @@ def checked(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["sig", "own"])
 
     texts = rows.select("key", "text").where(key_marks(keys)(F.col("key"))).join(keys, "key").dropDuplicates(["sig"]).select("sig", "text")
-    sets = materialise(texts.mapInArrow(whole, "sig binary, own binary"), "shingles")
+    return materialise(texts.mapInArrow(whole, "sig binary, own binary"), "shingles")
+
+
+def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): those ``pairs`` (x, y) of signatures whose whole ``sets`` are similar by ``percent`` or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,6 +442,11 @@ def keep_one_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
                 fps.append(wide_fingerprint(own).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(fps, pa.binary())], ["doc_id", "key", "sig", "fp"])
 
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], ["sig", "size", "sketch"])
+
     slim = materialise(rows.mapInArrow(measure, "doc_id long, key string, sig binary, fp binary"), "sets")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")
     distinct = materialise(slim.groupBy("sig", "fp").agg(best), "distinct")
@@ -394,29 +466,35 @@ def keep_one_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         twins = distinct.join(several.select("fp", F.col("sig").alias("x")), "fp").select("x", F.col("sig").alias("y")).where("x <> y")
         pairs = pairs.union(twins)
     pairs = materialise(one_order(pairs), "pairs")
-    stars = materialise(components(checked(pairs, distinct, rows, width, percent)), "stars")
-    # then whatever the index reports between sets that this has not connected
-    rooted = materialise(distinct.join(stars, distinct["sig"] == stars["node"], "left").select("fp", "sig", F.coalesce("root", "sig").alias("root")), "rooted")
-    labels = rooted.select("fp", "root", F.lit(False).alias("mixed"))
-    if shared:
-        labels = materialise(rooted.groupBy("fp").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed")), "labels")
-    between = crowd_pairs(crowds, labels, plan_tables(n, percent)[2])
-    if shared:
-        for side in ("a", "b"):
-            between = between.union(found.join(several.select(F.col("fp").alias(side)), side, "left_semi").select("a", "b"))
-        between = between.distinct()
-    for side, own in (("a", "x"), ("b", "y")):
-        between = between.join(rooted.select(F.col("fp").alias(side), F.col("sig").alias(own), F.col("root").alias(f"root_{own}")), side)
-    rest = between.select("x", "y", "root_x", "root_y")
-    if shared:
-        mixed = rooted.join(labels.where("mixed").select("fp"), "fp", "left_semi")
-        twins = mixed.select("fp", F.col("sig").alias("x"), F.col("root").alias("root_x")).join(mixed.select("fp", F.col("sig").alias("y"), F.col("root").alias("root_y")), "fp").where("x < y")
-        rest = rest.union(twins.select("x", "y", "root_x", "root_y"))
-    rest = one_order(rest.where("root_x <> root_y"))
-    rest = materialise((rest.distinct() if shared else rest).join(pairs, ["x", "y"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = checked(rest, distinct, rows, width, percent)
+    sets = whole_sets(pairs, distinct, rows, width)
+    stars = materialise(components(checked(pairs, sets, percent)), "stars")
+    # then what the index reports between sets that this has not connected; members of crowds are in pairs, too
+    members = materialise(distinct.select("fp", "sig").join(sets.mapInArrow(sketched, "sig binary, size long, sketch binary"), "sig"), "members")
+    for every in (False, True):
+        rooted = materialise(members.join(stars, members["sig"] == stars["node"], "left").select("fp", "sig", "size", "sketch", F.coalesce("root", "sig").alias("root")), "rooted")
+        labels = rooted.select("fp", "root", F.lit(False).alias("mixed"), "size", "sketch")
+        if shared:
+            alone = [F.when(F.count("*") == 1, F.min(c)).alias(c) for c in ("size", "sketch")]
+            labels = materialise(rooted.groupBy("fp").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed"), *alone), "labels")
+        between = crowd_pairs(crowds, labels, plan_tables(n, percent)[2], percent, every)
+        if shared:
+            for side in ("a", "b"):
+                between = between.union(found.join(several.select(F.col("fp").alias(side)), side, "left_semi").select("a", "b"))
+            between = between.distinct()
+        for side, own in (("a", "x"), ("b", "y")):
+            between = between.join(rooted.select(F.col("fp").alias(side), F.col("sig").alias(own), F.col("root").alias(f"root_{own}")), side)
+        rest = between.select("x", "y", "root_x", "root_y")
+        if shared:
+            mixed = rooted.join(labels.where("mixed").select("fp"), "fp", "left_semi")
+            twins = mixed.select("fp", F.col("sig").alias("x"), F.col("root").alias("root_x")).join(mixed.select("fp", F.col("sig").alias("y"), F.col("root").alias("root_y")), "fp").where("x < y")
+            rest = rest.union(twins.select("x", "y", "root_x", "root_y"))
+        rest = one_order(rest.where("root_x <> root_y"))
+        rest = materialise((rest.distinct() if shared else rest).join(pairs, ["x", "y"], "left_anti"), "rest")
+        if rest.isEmpty():  # a forest may be of pairs that have been checked, while others are open
+            continue
+        links = checked(rest, sets, percent)
         stars = materialise(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "stars")
+        pairs = pairs.union(rest)
     grouped = distinct.join(stars, distinct["sig"] == stars["node"], "left").select(F.coalesce("root", "sig").alias("root"), "best")
     kept = grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("key")).distinct()
     # few rows go or are repeated; those that surely are neither stay where they are, and only the others are dealt out

@@ -142,3 +142,53 @@ def test_key_marks(spark):
     assert keys.where(key_marks(keys.limit(0))(F.col("key"))).count() == 0
     edges = spark.createDataFrame([(x * 4,) for x in ("00000000", "00007fff", "00008000", "007fffff", "ffffffff")], "key string")
     assert edges.where(key_marks(edges)(F.col("key"))).count() == 5
+
+
+def test_sketches_bound_the_difference():
+    """A sketch rules out no pair that is similar, whatever the sizes."""
+    import numpy as np
+
+    from millrace.llm import similar
+
+    rng = np.random.default_rng(6)
+    sets = [np.zeros(0, np.uint64)]
+    for n in (1, 2, 15, 16, 17, 33, 100, 130, 1000, 5000):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for share in (0, 0.05, 0.2, 0.5):
+            sets.append(np.unique(np.concatenate((base[rng.random(n) >= share / 2], rng.integers(0, 2**64, int(n * share), dtype=np.uint64)))))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = similar.sketches_apart([similar.sketch(s) for s in sets], i, j)
+    truly = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (apart <= truly).all()
+    sizes = np.array([len(s) for s in sets])
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    unlike = (180 * truly > 30 * (small + large)) & (small >= 100) & (100 * small >= 80 * large)
+    assert unlike.any() and (180 * apart > 20 * (sizes[i] + sizes[j]))[unlike].all()
+
+
+def test_alike_documents_are_no_pairs(spark, frame, tmp_path, monkeypatch):
+    """Documents that resemble each other without being copies aren't joined two by two, and the copies among them stay linked."""
+    import corpus_pipeline
+    from millrace.llm import similar
+
+    rng = random.Random(23)
+    words = prose(rng, 120).split()
+    texts = []
+    for k in range(260):
+        own = list(words)
+        for at in rng.sample(range(5, 115), 1 if k % 20 == 0 else 3):
+            own[at] = prose(rng, 1, "xyz") + "q"
+        texts.append(" ".join(own))
+    rows = rows_for(texts)
+    plain, made = similar.materialise, []
+
+    def noted(df, tag, *more):
+        stored = plain(df, tag, *more)
+        if tag == "rest":
+            made.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(similar, "materialise", noted)
+    left = corpus_pipeline.near_copies(spark, frame(rows), str(tmp_path))
+    assert {r["doc_id"] for r in left.collect()} == slow_kept(rows)
+    assert sum(made) <= len(rows)
