@@ -195,6 +195,23 @@ def test_sparse_search_uses_every_word(spark):
     assert [r["score"] for r in got] == pytest.approx([s for _, _, s, _ in want], abs=1e-6)
 
 
+def test_sparse_search_by_norms(spark, monkeypatch):
+    """Queries in several chunks, long rows that pass first: nothing that a norm rules out belongs to the best."""
+    monkeypatch.setattr(rt, "CHUNK", 4)
+    rng = random.Random(8)
+    words = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [" ".join(x[1] for x in rng.choices(words, k=rng.choice((0, 2, 5, 400)))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = rt.sparse_topk(docs.where("id % 100 = 0"), docs, 4)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    weights = [{w: 1 + math.log(n) for w, n in Counter(t.split()).items()} for t in texts]
+    want = []
+    for q in range(0, len(texts), 100):
+        dots = [(-round(sum(w * weights[i].get(t, 0) for t, w in weights[q].items()), 6), i) for i in range(len(texts)) if i != q]
+        want += [(q, i, r + 1) for r, (_, i) in enumerate(sorted(x for x in dots if x[0] < 0)[:4])]
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in found.collect()) == sorted(want)
+
+
 def test_approximate_search_finds_most(spark):
     got = registry.queries()["knn_lsh"](spark, "/root/testdata/sf0.01")
     shares = [r["recall"] for r in got.collect()] if "recall" in got.columns else []
