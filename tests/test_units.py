@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -212,6 +213,22 @@ def test_sparse_search_by_norms(spark, monkeypatch):
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in found.collect()) == sorted(want)
 
 
+def test_searches_hold_k_rows(spark):
+    """A task gives k rows of each query, however many blocks pass, and pairs of blocks aren't rows."""
+    rng = np.random.default_rng(5)
+    held = rt._Dense(3)
+    row = lambda ids, m: {"ids": pa.scalar(list(ids), pa.list_(pa.int64())), "matrix": pa.scalar(m.tobytes()), "codes": pa.scalar(b"")}
+    asked, passing = rng.integers(-2, 3, (20, 4)).astype("<f8"), rng.integers(-2, 3, (600, 4)).astype("<f8")
+    held.ask(row(range(20), asked))
+    for at in range(0, 600, 50):
+        held.meet(row(range(at, at + 50), passing[at : at + 50]))
+    got = [tuple(r.values()) for batch in held.found() for r in batch.to_pylist()]
+    want = [(q, i, -s) for q in range(20) for s, i in sorted((-float(asked[q] @ passing[i]), i) for i in range(600) if i != q)[:3]]
+    assert got == want
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)], "id long, embedding array<double>")
+    assert "Join" not in rt.dense_topk(vectors.where("id % 10 = 0"), vectors, 3)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_approximate_search_finds_most(spark):
     got = registry.queries()["knn_lsh"](spark, "/root/testdata/sf0.01")
     shares = [r["recall"] for r in got.collect()] if "recall" in got.columns else []
