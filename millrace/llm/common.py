@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a plain local session (tests) may lack it; it then gets a temporary folder, as there is one machine.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    where = where or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+from ..sources.sinks import shared_dir
 
 
 def table_path(spark: SparkSession, tag: str) -> str:
@@ -124,3 +110,14 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = "_" + base
     return base
+
+
+def pieces(batch: pa.RecordBatch, column: str, rows: int = 300, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and ``size`` bytes of a string ``column``; a longer value is alone."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right"))
+        end = min(max(end, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end

@@ -88,14 +88,20 @@ class Engine:
         names = p["tickers"] if p["retrieval_hints"]["multi_hop"] and len(p["tickers"]) > 1 and "ticker" in present else []
         k = max(18, p["dense_k"] // max(1, len(names))) if names else p["dense_k"]
         passes = [self._pass(rows.where(F.col("ticker") == t), p, k) for t in names] + [self._pass(rows, p, p["dense_k"])]
-        return rt.best_of_passes(passes).join(rows, "id")
+        return self._met(rt.best_of_passes(passes), rows)
+
+    def _met(self, lists: DataFrame, rows: DataFrame) -> DataFrame:
+        """``lists``, which have some hundred rows whatever the corpus, with the ``rows`` of their ids. These are picked
+        while reading; a join of what Spark takes for large would deal out all texts and vectors."""
+        some = self.spark.createDataFrame(lists.collect(), lists.schema)
+        return some.join(rows.where(F.col("id").isin([r["id"] for r in some.select("id").distinct().collect()])), "id")
 
     def _pass(self, rows: DataFrame, p: dict, k: int) -> DataFrame:
         ask = self.spark.createDataFrame([(-1, p["query"], [float(x) for x in self.embed(p["query"])])], "id long, text string, embedding array<double>")
         dense = rt.dense_topk(ask, rows, k)
         sparse = rt.sparse_topk(ask, rows, k)
         fused = rt.fuse([(dense, rt.DENSE_WEIGHT), (sparse, rt.SPARSE_WEIGHT)])
-        scored = fused.join(rows, "id").withColumn("score", F.col("score") + rt.pre_bonus(p["flags"], p))
+        scored = self._met(fused, rows).withColumn("score", F.col("score") + rt.pre_bonus(p["flags"], p))
         return scored.select("query_id", "id", "score")
 
     def rerank(self, p: dict, candidates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import numbers as nu
 from ..operators import answer as an
 from ..operators import metrics as me
 from ..operators import planner as pl
+from ..sources.sinks import stored
 from .registry import query
 from .tables import hybrid_corpus, read
 
@@ -122,7 +123,7 @@ def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions from plan to checked answer over the hybrid corpus, with the default models."""
-    corpus = hybrid_corpus(spark, sf_dir)
+    corpus = stored(hybrid_corpus(spark, sf_dir).drop("lang", "label"), "corpus")
     chunks = corpus.select(
         "id", F.col("id").cast("string").alias("chunk_id"), F.col("source").alias("doc_id"), "text", "embedding", F.lit("prose").alias("chunk_type"), F.lit("10-K").alias("source_class"), F.lit("10-K").alias("form_type"), F.lit("other_table").alias("statement_type"), F.lit("annual").alias("period_type"),
         F.lit(1).alias("report_priority"), F.lit("").alias("row_label"), F.lit("").alias("col_header"), (F.col("id") % 5 + 2020).cast("int").alias("fiscal_year"), F.lit(None).cast("string").alias("fiscal_quarter"), F.array().cast("array<string>").alias("periods"), F.element_at(F.array(F.lit("AAPL"), F.lit("TSLA")), (F.col("id") % 2 + 1).cast("int")).alias("ticker"),

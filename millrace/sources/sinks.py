@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,6 +38,28 @@ def latest_version(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{base}/v{version:06d}")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only a plain local session (tests) may lack it; it then gets a temporary folder, as there is one machine.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    where = where or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what reads it often makes it once."""
+    path = f"{shared_dir(df.sparkSession)}/millrace-{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_status(manifest: DataFrame, results: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
     """``manifest`` with ``column`` from ``results`` (key, status) where there is one; the last of equal keys counts."""
     last = results.groupBy(key).agg(F.max_by("status", F.struct("seq", "status")).alias("_status"))

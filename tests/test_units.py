@@ -252,6 +252,19 @@ def test_approximate_search_compares_blocks(spark):
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in found.collect()) == sorted((q, i, r) for q, i, r in want)
 
 
+def test_single_questions_move_no_corpus(spark):
+    """One question's search deals out neither texts nor vectors, and candidates are picked while reading."""
+    chunks = spark.createDataFrame([(i, str(i), "cash debt" if i % 3 else "tax cash cash", [1.0, float(i)]) for i in range(40)], "id long, chunk_id string, text string, embedding array<double>")
+    ask = spark.createDataFrame([(-1, "cash", [1.0, 3.0])], "id long, text string, embedding array<double>")
+    for found in (rt.dense_topk(ask, chunks, 3), rt.sparse_topk(ask, chunks, 3)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Union" not in plan and [r["rank"] for r in found.orderBy("rank").collect()] == [1, 2, 3]
+    assert [r["id"] for r in rt.sparse_topk(ask, chunks, 3).orderBy("rank").collect()] == [0, 3, 6]
+    engine = an.Engine(spark, chunks, embed=lambda q: [1.0, 1.0])
+    met = engine._met(spark.createDataFrame([(-1, 7), (-1, 9), (-1, 99)], "query_id long, id long"), chunks)
+    assert sorted(r["id"] for r in met.collect()) == [7, 9]
+
+
 def test_pages(spark):
     blocks = spark.createDataFrame([("d", i, "10-K", True, 0) for i in range(400)] + [("e", i, "10-K", True, 0) for i in range(10)] + [("f", 0, "10-K", False, 7)], "doc_id string, block_order int, form_type string, page_is_surrogate boolean, page int")
     got = {(r["doc_id"], r["block_order"]): r["page"] for r in ch.pseudo_pages(blocks).collect()}
