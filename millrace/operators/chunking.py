@@ -6,11 +6,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_TOKENS, OVERLAP_TOKENS, TABLE_TOKENS, ROWS_IN_GROUP, LEAST_CHARS = 512, 64, 400, 30, 50
 MICRO_LEAST, MICRO_MOST = 6, 8
+FLUSH = 1 << 22
 #: Pages that a form is taken to have, and tables whose rows become chunks.
 FORM_PAGES = (("10-K", 80), ("10-Q", 40), ("8-K", 10), ("DEF14A", 60))
 NOTE_TYPES = ("segment_table", "eps_table", "debt_table", "compensation_table")
@@ -116,22 +119,36 @@ def micro_blocks(cells: list[tuple[str, str, str]]) -> list[list[tuple[str, str,
     return [b for b in found if len(b) >= 2]
 
 
-def prose_chunks(blocks: DataFrame, count: Counter | None = None) -> DataFrame:
+def prose_chunks(blocks: DataFrame, count: Counter | None = None, keep: list[str] | None = None) -> DataFrame:
     """``blocks`` with ``part`` and ``chunk_text``: whole if within the budget, else split. Texts under 50 characters
-    give none. ``count`` replaces the token estimate."""
+    give none. ``count`` replaces the token estimate. Of the columns those in ``keep`` stay, all by default; as each chunk
+    repeats them, long texts are better left out. Workers give ``FLUSH`` characters at a time."""
     own = count or estimate
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields) + ", part int, chunk_text string"
+    kept = blocks.columns if keep is None else keep
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            texts = frame["text"].fillna("").str.strip()
-            parts = [[] if len(t) < LEAST_CHARS else [t] if own(t) <= MAX_TOKENS else split_prose(t, count=own) for t in texts]
-            out = frame.loc[frame.index.repeat([len(p) for p in parts])].copy()
-            out["part"] = [i for p in parts for i in range(len(p))]
-            out["chunk_text"] = [x for p in parts for x in p]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts, chunks, size = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                columns = [batch.column(c).take(pa.array(rows, pa.int64())) for c in kept]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.int32()), pa.array(chunks, pa.string())], [*kept, "part", "chunk_text"])  # noqa: B023
 
-    return blocks.mapInPandas(run, schema)
+            for i, text in enumerate(batch.column("text")):
+                t = (text.as_py() or "").strip()
+                for part, chunk in enumerate([] if len(t) < LEAST_CHARS else [t] if own(t) <= MAX_TOKENS else split_prose(t, count=own)):
+                    rows.append(i)
+                    parts.append(part)
+                    chunks.append(chunk)
+                    size += len(chunk) + (len(t) if "text" in kept else 0)
+                    if size > FLUSH:
+                        yield made()
+                        rows, parts, chunks, size = [], [], [], 0
+            if rows:
+                yield made()
+
+    schema = blocks.select(*kept).schema.add("part", T.IntegerType()).add("chunk_text", T.StringType())
+    return blocks.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, schema)
 
 
 def is_numeric_cell(value: Column) -> Column:
@@ -210,9 +227,18 @@ def carried_sections(items: DataFrame, section: str = "own_section", doc: str =
     return items.withColumn("section", F.coalesce(F.last(own, ignorenulls=True).over(upto), F.lit(default)))
 
 
-def interleaved(prose: DataFrame, tables: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Both in reading order, ``place`` from 0: by block_order, prose first on ties, those without at the end."""
+def partitions_for(rows: DataFrame, size: int = 8 << 20) -> int:
+    """Partitions for ``rows``, the session's number at least: Spark's estimate of their bytes in parts of ``size``. What
+    a task sorts then doesn't grow with the table, as it does where partitions are merged up to one for each core."""
+    whole = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(-(-whole // size), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+
+
+def interleaved(prose: DataFrame, tables: DataFrame, doc: str = "doc_id", partitions: int | None = None) -> DataFrame:
+    """Both in reading order, ``place`` from 0: by block_order, prose first on ties, those without at the end. With
+    ``partitions`` dealt by ``doc`` to as many."""
     both = prose.withColumn("kind", F.lit(0)).unionByName(tables.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition(partitions, doc) if partitions else both
     order = Window.partitionBy(doc).orderBy(F.col("block_order").asc_nulls_last(), "kind", "pos")
     return both.withColumn("place", F.row_number().over(order) - 1)
 

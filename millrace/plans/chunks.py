@@ -125,7 +125,7 @@ def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def prose_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents split under 512 tokens with overlap."""
-    return ch.prose_chunks(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "part", tx.n_tokens(F.col("chunk_text")).alias("tokens"), F.md5("chunk_text").alias("digest"))
+    return ch.prose_chunks(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "part", tx.n_tokens(F.col("chunk_text")).alias("tokens"), F.md5("chunk_text").alias("digest"))
 
 
 @query()

@@ -252,6 +252,16 @@ def test_approximate_search_compares_blocks(spark):
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in found.collect()) == sorted((q, i, r) for q, i, r in want)
 
 
+def test_prose_chunks_leave_texts_out(spark):
+    """Chunks of a long text don't each carry it."""
+    text = " ".join(f"Sentence number {i} is about cash." for i in range(900))
+    rows = spark.createDataFrame([(1, text, "a"), (2, None, "b"), (3, "short", "c"), (4, text[:300], None)], "doc_id long, text string, tag string")
+    slim, whole = ch.prose_chunks(rows, keep=["doc_id"]), ch.prose_chunks(rows)
+    assert slim.columns == ["doc_id", "part", "chunk_text"] and whole.columns == ["doc_id", "text", "tag", "part", "chunk_text"]
+    want = [(1, i, c) for i, c in enumerate(ch.split_prose(text))] + [(4, 0, text[:300])]
+    assert sorted(map(tuple, slim.collect())) == want == sorted((r["doc_id"], r["part"], r["chunk_text"]) for r in whole.collect())
+
+
 def test_single_questions_move_no_corpus(spark):
     """One question's search deals out neither texts nor vectors, and candidates are picked while reading."""
     chunks = spark.createDataFrame([(i, str(i), "cash debt" if i % 3 else "tax cash cash", [1.0, float(i)]) for i in range(40)], "id long, chunk_id string, text string, embedding array<double>")
