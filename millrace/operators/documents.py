@@ -67,14 +67,15 @@ def document_chunks(prose: DataFrame, tables: DataFrame, meta: DataFrame, count:
     the same but text. ``meta``: one row per doc_id with company, ticker, form_type, fiscal_year, fiscal_quarter,
     period_end_date. Everything is dealt by doc_id, so order, pages, sections and numbers share that partitioning.
     """
-    rows = ch.interleaved(prose, tables).join(meta, "doc_id")
+    n = ch.partitions_for(prose)
+    rows = ch.interleaved(prose, tables, partitions=n).join(meta, "doc_id")
     rows = ch.carried_sections(ch.pseudo_pages(rows, order="place"), order="place")
     shared = ["doc_id", "place", "block_order", "section", "page", "page_is_surrogate"]
-    told = ch.prose_chunks(rows.where("kind = 0").select(*shared, "text"), count).drop("text").withColumn("kind_order", F.lit(0)).withColumn("chunk_type", F.when(tx.is_footnote(F.col("chunk_text")), "footnote").otherwise("prose"))
+    told = ch.prose_chunks(rows.where("kind = 0").select(*shared, "text"), count, shared).withColumn("kind_order", F.lit(0)).withColumn("chunk_type", F.when(tx.is_footnote(F.col("chunk_text")), "footnote").otherwise("prose"))
     emits = ch.emits_rows(F.col("is_financial_statement"), F.col("statement_type"), F.col("cell_grid"))
     kept = without_covers(rows.where("kind = 1")).select(*shared, "statement_type", table_head().alias("table_head"), "retrieval_text", "column_headers", "cell_grid", emits.alias("row_chunks"), row_context().alias("row_context"))
     cut = ch.table_chunks(kept).drop("table_head", "retrieval_text", "column_headers", "cell_grid", "row_chunks", "row_context")
-    every = ch.numbered(told.unionByName(cut, allowMissingColumns=True), ["place", "kind_order", "part"])
+    every = ch.numbered(told.unionByName(cut, allowMissingColumns=True).repartition(n, "doc_id"), ["place", "kind_order", "part"])
     first = F.first(F.when(F.col("chunk_type") == "table", F.col("chunk_id")), ignorenulls=True).over(Window.partitionBy("doc_id", "place").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     every = every.withColumn("parent_chunk_id", F.when(F.col("chunk_type").isin("row", "micro_block"), first))
     every = every.withColumn("citation_key", tx.citation_key(F.col("page"), F.col("section"), F.col("block_order"), F.col("page_is_surrogate")))

@@ -275,6 +275,17 @@ def test_single_questions_move_no_corpus(spark):
     assert sorted(r["id"] for r in met.collect()) == [7, 9]
 
 
+def test_document_chunks_are_dealt_by_size(spark, tmp_path):
+    """Partitions follow the size of the blocks, so that a task's share doesn't grow with them."""
+    spark.range(20_000).select("id", F.md5(F.col("id").cast("string")).alias("t")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ch.partitions_for(rows) == least
+    assert ch.partitions_for(rows, 1 << 12) > 4 * ch.partitions_for(rows, 1 << 15) > least
+    plan = registry.queries()["document_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= 2
+
+
 def test_pages(spark):
     blocks = spark.createDataFrame([("d", i, "10-K", True, 0) for i in range(400)] + [("e", i, "10-K", True, 0) for i in range(10)] + [("f", 0, "10-K", False, 7)], "doc_id string, block_order int, form_type string, page_is_surrogate boolean, page int")
     got = {(r["doc_id"], r["block_order"]): r["page"] for r in ch.pseudo_pages(blocks).collect()}
