@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialise, row_key, text_or_empty
+from .common import free_name, materialise, pieces, row_key, text_or_empty
 
 BUCKETS = 1 << 14
 FULL_CLASS = 20  # rows of one language and length that make a band of fits
@@ -75,8 +75,7 @@ def count_trigrams(rows: DataFrame, languages: list[str]) -> np.ndarray:
             sums.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
+            for part in pieces(batch, "text"):
                 codes, bounds = trigrams(part.column(0).cast(pa.large_binary()).to_pylist())
                 kind = np.array([number.get(x, -1) for x in part.column(1).to_pylist()])
                 where = np.repeat(kind, np.diff(bounds))
@@ -100,8 +99,7 @@ def likelihoods(rows: DataFrame, counts: np.ndarray, kept: list[str]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
+            for part in pieces(batch, "text"):
                 codes, bounds = trigrams(part.column("text").cast(pa.large_binary()).to_pylist())
                 logs = np.empty((part.num_rows, len(shared.value)))
                 for k, own in enumerate(shared.value):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, table_path
+from .common import delete_path, pieces, table_path
 
 #: A reader holds one file at a time: PER_FILE rows of CHUNK bytes, a row being larger only by its last record.
 CHUNK, PER_FILE = 4 << 20, 12
@@ -172,8 +172,12 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Markup((x.as_py() or "").encode("utf-8", "replace")) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.text() for m in found], pa.string()), pa.array([m.language for m in found], pa.string())], ["page_id", "url", "text", "markup_language"])
+            for part in pieces(batch, "html"):
+                found = []
+                for x in part.column(2):
+                    m = Markup((x.as_py() or "").encode("utf-8", "replace"))
+                    found.append((m.text(), m.language))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.string()) for x in zip(*found, strict=True))], ["page_id", "url", "text", "markup_language"])
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return slim.mapInArrow(run, "page_id long, url string, text string, markup_language string")
